@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters of text that one slice holds at most, but for a single longer text.
 SLICE_CHARS = 1_000_000
@@ -15,7 +16,7 @@ SLICE_CHARS = 1_000_000
 def sliced(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """The batches cut into slices, each with its texts (null: empty)."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(text)).to_pylist()
+        sizes = pc.binary_length(batch.column(text)).to_pylist()
         start = size = 0
         for i, n in enumerate([*sizes, None]):
             if i == len(sizes) or (i > start and size + (n or 0) > limit):

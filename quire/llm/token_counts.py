@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.batches import records, sliced
@@ -24,7 +24,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
         own = counter(tokenizer)
         for part, texts in sliced(batches, "t"):
             counts = own.count(texts)
-            sizes = pa.compute.fill_null(pa.compute.binary_length(part.column("t")), 0).cast(pa.int64())
+            sizes = pc.fill_null(pc.binary_length(part.column("t")), 0).cast(pa.int64())
             out = records(schema, [sizes, counts, [n > limit for n in counts]])
             yield pa.RecordBatch.from_arrays([part.column("k"), *out.columns], names=[key, *schema.names])
 
