@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 
 import numpy as np
@@ -13,10 +14,10 @@ from quire.llm.merging import PairTable
 
 # The published splitting pattern of this vocabulary family and its special token.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPACE = "\t-\r \x85\xa0  -     　"
+BLANK = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A unit is a run without white space, with the one space before it; the splitting pattern never joins across two units.
-UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-PRE = regex.compile(PRE_TOKEN.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
+UNIT = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+PRE = regex.compile(PRE_TOKEN.replace(r"[^\s\p{L}\p{N}]", rf"[^{BLANK}\p{{L}}\p{{N}}]").replace(r"\s", f"[{BLANK}]").replace(r"\S", f"[^{BLANK}]"))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -27,10 +28,81 @@ def byte_alphabet() -> dict[str, int]:
     return shown | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
 
 
-class RankCounter:
+class UnitCache:
+    """What is known of units, for one Python worker.
+
+    A text that is cut at its single spaces falls into pieces that stand for units with a space before them, as long as no
+    piece is empty or has white space at an end; the value of any other piece is None, and such a text is cut by UNIT.
+    The first `core` entries stay; the later ones go when `limit` is reached. Frequent units come early.
+    """
+
+    def __init__(self, core: int, limit: int):
+        self.core, self.limit = core, limit
+        self.after: dict[str, object] = {}  # piece -> value of the unit " " + piece
+        self.plain: dict[str, object] = {}  # unit -> value
+        self.kept: dict[str, object] | None = None
+
+    def value(self, units: list[str]) -> list:
+        raise NotImplementedError
+
+    def spaced(self, pieces: list[str]) -> list:
+        """The values of the units " " + piece."""
+        return self.value([" " + p for p in pieces])
+
+    def get(self, texts: list[str]) -> list[list]:
+        """The values of the units of each text."""
+        found = []
+        known = self.after.get
+        missing: set[str] = set()
+        for text in texts:
+            head, *pieces = text.split(" ")
+            values = list(map(known, pieces))
+            holes = [i for i, v in enumerate(values) if v is None] if None in values else ()
+            missing.update(pieces[i] for i in holes)
+            found.append((head, pieces if holes else None, values, holes))
+        if missing:
+            self.learn(missing)
+        out, heads, odd = [], [], []
+        known = self.after.get
+        for k, (head, pieces, values, holes) in enumerate(found):
+            bad = bool(head) and head[-1] in BLANK
+            for i in holes:
+                v = values[i] = known(pieces[i])
+                bad = bad or v is None
+            if bad or (not head and values and not texts[k][1:2].strip(BLANK)):
+                odd.append(k)
+            elif head:
+                heads.append(k)
+            out.append(values)
+        for k, values in zip(heads, self.lookup([UNIT.findall(found[k][0]) for k in heads]), strict=True):
+            out[k] = values + out[k]
+        for k, values in zip(odd, self.lookup([UNIT.findall(texts[k]) for k in odd]), strict=True):
+            out[k] = values
+        if len(self.after) > self.limit:
+            if self.kept is None:
+                self.kept = dict(list(self.after.items())[: self.core])
+            self.after = dict(self.kept)
+        return out
+
+    def learn(self, pieces: set[str]) -> None:
+        good = [p for p in pieces if p and p[0] not in BLANK and p[-1] not in BLANK]
+        self.after.update(zip(good, self.spaced(good), strict=True))
+
+    def lookup(self, split: list[list[str]]) -> list[list]:
+        missing = list({u for units in split for u in units if u not in self.plain})
+        if missing:
+            if len(self.plain) > self.limit // 8:
+                self.plain.clear()
+                missing = list({u for units in split for u in units})
+            self.plain.update(zip(missing, self.value(missing), strict=True))
+        return [[self.plain[u] for u in units] for units in split]
+
+
+class RankCounter(UnitCache):
     """Counts tokens without the library: pre-tokens that the cache lacks go through PairTable.merge together."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, core: int = 400_000, limit: int = 900_000):
+        super().__init__(core, limit)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -42,32 +114,14 @@ class RankCounter:
         self.table = PairTable([vocab[a] for a, _ in merges], [vocab[b] for _, b in merges], range(len(merges)), merged, every=len(set(merged)) == len(merged))
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.units: dict[str, int] = {}
-        self.limit = limit
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text; special strings count as one token each, as the library does by default."""
-        split, extra = [], []
-        for text in texts:
-            n = 0
-            if self.cut and "<" in text:
-                parts = self.cut.split(text)
-                n = len(parts) - 1
-                split.append([u for p in parts for u in UNIT.findall(p)])
-            else:
-                split.append(UNIT.findall(text))
-            extra.append(n)
-        known = self.units
-        missing = {u for units in split for u in units if u not in known}
-        if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = {u for units in split for u in units}
-            known.update(zip(missing, self.fresh(list(missing)), strict=True))
-        get = known.__getitem__
-        return [n + sum(map(get, units)) for units, n in zip(split, extra, strict=True)]
-
-    def fresh(self, units: list[str]) -> list[int]:
+        parts = [self.cut.split(t) if self.cut and any(s in t for s in self.special) else [t] for t in texts]
+        counts = iter(self.get([p for own in parts for p in own]))
+        return [len(own) - 1 + sum(sum(next(counts)) for _ in own) for own in parts]
+
+    def value(self, units: list[str]) -> list[int]:
         """Token counts of distinct units: their pre-tokens as ragged byte arrays, merged rank by rank."""
         pre = [PRE.findall(u) for u in units]
         flat = [p.encode() for ps in pre for p in ps]
@@ -79,14 +133,16 @@ class RankCounter:
         return (total[end] - total[end - per]).tolist()
 
 
-class IdEncoder:
+class IdEncoder(UnitCache):
     """Ids from the tokenizers library as little-endian uint32 bytes, with a bounded cache of units.
 
     The library encodes only units that are new; those that start with a space are joined, encoded as one text and cut again
     before each token that starts with a space, because the splitting pattern starts afresh there and nowhere else in them.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, core: int = 400_000, limit: int = 900_000):
+        super().__init__(core, limit)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -97,38 +153,33 @@ class IdEncoder:
         vocab = spec["model"]["vocab"]
         self.opens = np.zeros(max(vocab.values()) + 2, bool)
         self.opens[[i for piece, i in vocab.items() if piece[0] == blank]] = True
-        self.units: dict[str, bytes] = {}
-        self.limit = limit
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(s in t for s in self.special) else UNIT.findall(t) for t in texts]
-        known = self.units
-        missing = {u for units in split if units for u in units if u not in known}
-        if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = {u for units in split if units for u in units}
-            self.learn(list(missing))
-        get, join = known.__getitem__, b"".join
-        return [self.whole(t) if units is None else join(map(get, units)) for t, units in zip(texts, split, strict=True)]
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, units: list[str]) -> None:
-        spaced = [u for u in units if u[0] == " " and len(u) > 1 and not u[1].isspace()]
-        for i in range(0, len(spaced), 4000):
-            part = spaced[i : i + 4000]
-            ids = np.asarray(self.library.encode("".join(part), add_special_tokens=False).ids, "<u4")
-            cut = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
+        whole = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
+        join = b"".join
+        if not whole:
+            return list(map(join, self.get(texts)))
+        out = list(map(join, self.get(["" if k in set(whole) else t for k, t in enumerate(texts)])))
+        for k in whole:
+            out[k] = self.bare(texts[k])
+        return out
+
+    def bare(self, text: str) -> bytes:
+        return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def value(self, units: list[str]) -> list[bytes]:
+        return list(map(self.bare, units))
+
+    def spaced(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 4000):
+            part = pieces[i : i + 4000]
+            raw = self.bare(" " + " ".join(part))
+            cut = [*(4 * np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")])).tolist(), len(raw)]
             if len(cut) != len(part) + 1:
                 raise ValueError("a unit does not start with exactly one token that starts with a space")
-            raw = ids.tobytes()
-            self.units.update((u, raw[4 * a : 4 * b]) for u, a, b in zip(part, cut, cut[1:], strict=False))
-        rest = [u for u in units if not (u[0] == " " and len(u) > 1 and not u[1].isspace())]
-        if rest:
-            for u, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                self.units[u] = np.asarray(e.ids, "<u4").tobytes()
+            out += [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        return out
 
 
 @functools.lru_cache(maxsize=2)

@@ -55,22 +55,26 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
     rows.mapInArrow(run, SCHEMA.format(kind=kind)).write.options(**FORMAT).parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """The table written by write_tokens with `start`, the number of ids of all documents before each one.
+def read_tokens(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Columns of the table written by write_tokens, with `part` and `local_start`; ids stay on disk unless asked for."""
+    return spark.read.parquet(path).select("part", "local_start", *columns)
 
-    Only the wanted columns are read: `ids` stays on disk unless it is asked for. The bases of the files come from the
-    sums of their n_tokens, one row per file.
+
+def with_starts(rows: DataFrame, path: str) -> DataFrame:
+    """Add `start`, the number of ids of all documents before each one, to rows that have part and local_start.
+
+    The bases of the files come from the sums of their n_tokens, one row per file. Join before the ids are read or after
+    they are condensed: the join shuffles its rows.
     """
-    rows = spark.read.parquet(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    totals = rows.sparkSession.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("total"))
     bases = totals.selectExpr("part", "sum(total) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - total AS base")
-    out = rows.join(bases, "part").withColumn("start", F.col("base") + F.col("local_start"))
-    return out.select(*(columns or ["doc_id", "start", "n_tokens", "ids"]))
+    return rows.join(bases, "part").withColumn("start", F.col("base") + F.col("local_start")).drop("base", "part", "local_start")
 
 
 def id_digests(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids as little-endian unsigned 32-bit integers, from a read_tokens table."""
+    """part, local_start, doc_id, n_tokens and the crc32 of the ids as little-endian unsigned 32-bit integers."""
     kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["part", "local_start", "doc_id", "n_tokens"]
 
     def run(batches):
         for batch in batches:
@@ -78,12 +82,13 @@ def id_digests(rows: DataFrame) -> DataFrame:
             at = np.asarray(ids.offsets)
             raw = memoryview(np.ascontiguousarray(np.asarray(ids.values).astype("<u4", copy=False)).view(np.uint8))
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(crc, pa.int64())], names=[*names, "ids_crc32"])
 
-    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return rows.select(*names, "ids").mapInArrow(run, f"part int, local_start long, doc_id {kind}, n_tokens long, ids_crc32 long")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return id_digests(read_tokens(spark, path))
+    digests = id_digests(read_tokens(spark, path, ["doc_id", "n_tokens", "ids"]))
+    return with_starts(digests, path).select("doc_id", "start", "n_tokens", "ids_crc32")
