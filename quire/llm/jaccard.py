@@ -2,16 +2,15 @@
 
 Documents meet through segment signatures: the hash space is cut into more segments than two linked sets can differ in
 elements, so at least one segment is equal in both; each document emits keys of as many non-empty segments as its size asks
-for. Within a block of equal keys every document is searched against the block's first one, linked documents are contracted,
-and only documents of blocks that still hold several components are searched against each other. All searches are
-T-occurrence searches over inverted lists.
+for. Within a block of equal keys every document is searched against the block's first one and linked documents are contracted.
+Blocks that still hold several components are joined into clusters, and the documents of a cluster are searched against
+each other across components. All searches are T-occurrence searches over inverted lists; no pair is written that is no link.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
@@ -25,8 +24,9 @@ from quire.llm.words import mix, shingle_sets
 from quire.session import discard, materialise
 
 RATIO = 1.5
-SALTS = 8
-CHUNK = 128
+CHUNK = 128  # documents under one set of inverted lists when they are held against a hub
+DEAL = 512  # documents of one hub that one task searches at most, about
+ELEMENTS = 2_000_000  # set elements that one unit of a cluster holds at most, about
 
 
 class Signatures:
@@ -191,58 +191,94 @@ def block_members(signatures: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, doc long, hub long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int, text: str, key: str) -> DataFrame:
-    """(doc, hub, shared, n, hub_n, linked) of every pair (doc, hub): shared elements by T-occurrence search of each hub's
-    set over inverted lists of its documents; shared is null where a pair falls short of the search's bound.
+def element_sets(wanted: DataFrame, docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
+    """(doc, n, own) of the documents in wanted: the sorted hashes of their shingles, from whole texts."""
 
-    Sets are computed from whole texts of the documents in pairs only. The documents of a hub are dealt over SALTS tasks
-    and searched CHUNK at a time.
-    """
-    wanted = pairs.unionAll(pairs.selectExpr("hub AS doc", "hub")).distinct().groupBy("doc").agg(F.collect_set("hub").alias("hubs"))
-    texts = docs.selectExpr(f"CAST(`{key}` AS long) AS doc", f"`{text}` AS t").join(wanted, "doc")
-
-    def sets(batches):
-        for part, text_ in sliced(batches, "t"):
-            rows = []
-            for doc, hubs, own in zip(part.column("doc").to_pylist(), part.column("hubs").to_pylist(), shingle_sets(text_, words), strict=True):
-                raw = own.tobytes()
-                for hub in hubs:
-                    rows += [(hub, s, 0, doc, raw) for s in range(SALTS)] if hub == doc else [(hub, doc % SALTS, 1, doc, raw)]
-            columns = zip(*rows, strict=True)
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["hub", "salt", "is_doc", "doc", "own"])
+    def run(batches):
+        for part, texts in sliced(batches, "t"):
+            own = shingle_sets(texts, words)
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(map(len, own), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["doc", "n", "own"])
+
+    return docs.selectExpr(f"CAST(`{key}` AS long) AS doc", f"`{text}` AS t").join(wanted, "doc").select("doc", "t").mapInArrow(run, "doc long, n long, own binary")
+
+
+def hub_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (doc, hub) that link, as (a, b): each hub's set is searched over inverted lists of its documents, CHUNK at
+    a time. The documents of a large hub are dealt over several tasks, each of which gets the hub's set."""
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "hub").select("doc", "hub", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("part"), F.lit(1).alias("is_doc"))
+    heads = parts.select(F.col("hub").alias("doc"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("is_doc"))
 
     def search(batches):
         hub, query, held = None, None, []
 
         def flush():
-            if not held:
-                return None
-            docs_, own = zip(*held, strict=True)
-            size = np.array([len(x) for x in own])
-            index = InvertedLists(list(own))
-            shared = dict(index.search(query, overlap_needed(size, len(query), num, den)))
-            out = [pa.array(docs_, pa.int64()), pa.array([hub] * len(docs_), pa.int64()), pa.array([shared.get(i) for i in range(len(docs_))], pa.int64()), pa.array(size, pa.int64()), pa.array([len(query)] * len(docs_), pa.int64())]
+            index = InvertedLists([own for _, own in held])
+            found = index.search(query, overlap_needed(index.sizes, len(query), num, den))
+            out = [held[r][0] for r, shared in found if den * shared >= num * (len(held[r][1]) + len(query) - shared)]
             held.clear()
-            return pa.RecordBatch.from_arrays(out, names=["doc", "hub", "shared", "n", "hub_n"])
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array([hub] * len(out), pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for h, is_doc, doc, raw in zip(*(batch.column(c).to_pylist() for c in ("hub", "is_doc", "doc", "own")), strict=True):
-                if h != hub or not is_doc or len(held) >= CHUNK:
-                    if done := flush():
-                        yield done
+                if held and (h != hub or not is_doc or len(held) >= CHUNK):
+                    yield flush()
                 own = np.frombuffer(raw, np.uint64)
-                if not is_doc:
-                    hub, query = h, own
-                else:
+                if is_doc:
                     held.append((doc, own))
-        if done := flush():
-            yield done
+                else:
+                    hub, query = h, own
+        if held:
+            yield flush()
+
+    rows = dealt.unionAll(heads).join(sets, "doc").repartition("hub", "part").sortWithinPartitions("hub", "part", "is_doc", "doc")
+    return rows.select("hub", "is_doc", "doc", "own").mapInArrow(search, "a long, b long")
+
+
+def cluster_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between different components inside each cluster of members (doc, component, cluster).
+
+    A cluster of more than ELEMENTS elements is cut into parts; every two parts meet in one unit, so a unit is bounded and
+    no pair of parts is left out. Within a unit every document outside the largest component is searched over the inverted
+    lists of all others.
+    """
+    sized = members.join(sets.select("doc", "n"), "doc")
+    parts = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / ELEMENTS).cast("int").alias("parts"))
+    placed = members.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
+    units = placed.select("doc", "component", "cluster", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    units = units.select("doc", "component", "cluster", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).distinct()
+
+    def search(batches):
+        unit, held = None, []
+
+        def flush():
+            docs, component, part, own = zip(*held, strict=True)
+            i, j = unit[1:]
+            out = []
+            names, counts = np.unique(np.array(component), return_counts=True)
+            if len(names) > 1:
+                largest = names[counts.argmax()]
+                index = InvertedLists(list(own))
+                for q, query in enumerate(own):
+                    if component[q] == largest:
+                        continue
+                    for r, shared in index.search(query, overlap_needed(index.sizes, len(query), num, den)):
+                        if component[r] != component[q] and (i == j or part[r] != part[q]) and den * shared >= num * (len(own[r]) + len(query) - shared):
+                            out.append((docs[q], docs[r]))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for c, i, j, part, doc, component, raw in zip(*(batch.column(x).to_pylist() for x in ("cluster", "i", "j", "part", "doc", "component", "own")), strict=True):
+                if held and (c, i, j) != unit:
+                    yield flush()
+                unit = (c, i, j)
+                held.append((doc, component, part, np.frombuffer(raw, np.uint64)))
+        if held:
+            yield flush()
 
-    rows = texts.mapInArrow(sets, "hub long, salt int, is_doc int, doc long, own binary").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "is_doc", "doc")
-    found = rows.select("hub", "is_doc", "doc", "own").mapInArrow(search, "doc long, hub long, shared long, n long, hub_n long")
-    linked = F.coalesce(F.col("shared") * den >= (F.col("n") + F.col("hub_n") - F.col("shared")) * num, F.lit(False))
-    return found.withColumn("linked", linked)
+    rows = units.join(sets, "doc").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc")
+    return rows.select("cluster", "i", "j", "part", "doc", "component", "own").mapInArrow(search, "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -259,22 +295,19 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     leaders = signatures.where("size(keys) > 0").join(twins.selectExpr("first AS doc").distinct(), "doc", "left_semi")
     members = materialise(block_members(leaders), "members")
     pairs = members.where("doc <> hub").select("doc", "hub").distinct()
-    first = materialise(verified(pairs, docs, words, num, den, text, key), "verified")
-    links = first.where("linked").selectExpr("doc AS a", "hub AS b").unionAll(equal)
+    wanted = members.select("doc").distinct()
+    sets = materialise(element_sets(wanted, docs, words, text, key), "sets", compression="zstd")
+    links = hub_links(pairs, sets, num, den).unionAll(equal)
     labels = materialise(components(links), "labels")
-    # blocks that still hold several components: their members are searched against each other across components
     named = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    size = first.select("doc", "n").unionAll(first.selectExpr("hub AS doc", "hub_n AS n")).distinct()
-    rest = named.join(mixed, "key", "left_semi").where("doc <> hub").join(size, "doc").select("key", "doc", "component", "n")
-    left, right = rest.toDF("key", "doc", "c", "n"), rest.toDF("key", "hub", "hc", "hn")
-    across = left.join(right, "key").where(f"c <> hc AND hub < doc AND least(n, hn) * {den} >= greatest(n, hn) * {num}").select("doc", "hub").distinct()
-    across = materialise(across.join(first.select("doc", "hub"), ["doc", "hub"], "left_anti"), "across")
-    more = verified(across, docs, words, num, den, text, key).where("linked").selectExpr("doc AS a", "hub AS b")
+    rest = materialise(named.join(mixed, "key", "left_semi").groupBy("doc", "hub").agg(F.min("component").alias("component")), "rest")
+    clusters = components(rest.selectExpr("doc AS a", "hub AS b")).toDF("doc", "cluster")
+    more = cluster_links(rest.select("doc", "component").distinct().join(clusters, "doc"), sets, num, den)
     labels_2 = components(labels.selectExpr("node AS a", "component AS b").unionAll(more))
     out = signatures.selectExpr("doc", "n AS n_shingles").join(labels_2.withColumnRenamed("node", "doc"), "doc", "left")
     out = materialise(out.select(F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("component", "doc").alias("component_id")), "classes")
-    for table in (signatures, members, first, labels, across):
+    for table in (signatures, members, sets, labels, rest):
         discard(spark, table)
     return out
 
