@@ -55,3 +55,10 @@ def discard(spark: SparkSession, df_or_path: DataFrame | str) -> None:
     for path in paths:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand rows to Python in Arrow batches of at most `rows`: texts may be long, and batches live outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
