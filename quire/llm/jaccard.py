@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quire.llm.batches import sliced
 from quire.llm.components import components
 from quire.llm.words import mix, shingle_sets
-from quire.session import discard, materialise
+from quire.session import discard, materialise, small_batches
 
 RATIO = 1.5
 CHUNK = 128  # documents under one set of inverted lists when they are held against a hub
@@ -289,6 +289,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     rows with a null key keep a null component; rows with equal keys count as one document with the sets of each.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     signatures = materialise(signed(docs, words, num, den, text, key), "signed")
     twins = signatures.where("n > 0 AND doc IS NOT NULL AND same = doc").groupBy("twin", "n").agg(F.min("doc").alias("first"))
     equal = signatures.where("n > 0 AND doc IS NOT NULL").select("doc", "twin", "n").join(twins, ["twin", "n"]).where("doc <> first").selectExpr("doc AS a", "first AS b")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.batches import sliced
 from quire.llm.words import VALUES_2, windows_of, words_of
-from quire.session import discard, materialise
+from quire.session import discard, materialise, small_batches
 
 GRAM = 20
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
@@ -157,6 +157,7 @@ def analyse(docs: DataFrame, window: int = 50, batches: int = 3, text: str = "te
     cuts: doc, t (its text), starts (first words of the windows to remove), for the other documents that lose words.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     prints = materialise(fingerprints(docs, window, text, key), "prints")
     first = prints.where("doc IS NOT NULL AND n_words > 0").groupBy("sha").agg(F.min("doc").alias("first"))
     base = materialise(prints.select("doc", "n_words", "sha").join(first, "sha", "left").selectExpr("doc", "n_words", "sha", "coalesce(doc > first, false) AS copy"), "base")

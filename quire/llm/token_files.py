@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.batches import sliced
 from quire.llm.bytebpe import encoder
-from quire.session import scratch_path
+from quire.session import scratch_path, small_batches
 
 #: Ids have at most some 50 thousand values: dictionary pages hold them in two bytes each. Sorted and small integers are
 #: delta encoded, which format version 2 does where the dictionary is off. Pages carry at most 2000 rows, so the page
@@ -37,6 +37,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
     Files follow each other by name as the keys do; within a file rows are sorted. local_start counts the ids before a
     document in its file. Repeated keys are written as often as they come. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     end = [end_id] if end_id is not None else []
 
