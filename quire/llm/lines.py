@@ -189,9 +189,9 @@ def drop_later_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", *
             columns = [pa.array(out, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    gone = later_lines(docs, text=text, key=key, **rules).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), "gone")
+    gone = later_lines(docs, text=text, key=key, **rules).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     joined = docs.join(gone, (docs[key].cast("long") == gone["__doc"]) & (F.xxhash64(docs[text]) == gone["__th"]), "left")
-    return joined.select(*[docs[c] for c in names], F.col("gone").alias("__gone")).mapInArrow(run, docs.schema)
+    return joined.select(*[docs[c] for c in names], "__gone").mapInArrow(run, docs.schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
