@@ -11,6 +11,7 @@ import numpy as np
 import regex
 
 from quire.llm.merging import PairTable
+from quire.llm.words import VALUES, VALUES_2, mix, powers
 
 # The published splitting pattern of this vocabulary family and its special token.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -133,15 +134,68 @@ class RankCounter(UnitCache):
         return (total[end] - total[end - per]).tolist()
 
 
-class IdEncoder(UnitCache):
-    """Ids from the tokenizers library as little-endian uint32 bytes, with a bounded cache of units.
+class UnitTable:
+    """A hash table of units in numpy arrays: open addressing over 64-bit hashes, each verified by a second checksum.
 
-    The library encodes only units that are new; those that start with a space are joined, encoded as one text and cut again
-    before each token that starts with a space, because the splitting pattern starts afresh there and nowhere else in them.
+    Looking up a whole slice is a few gathers. Rows are numbered in the order in which units were added; when the table is
+    full only the first `core` rows stay.
     """
 
-    def __init__(self, path: str, core: int = 400_000, limit: int = 900_000):
-        super().__init__(core, limit)
+    def __init__(self, bits: int, core: int):
+        self.mask, self.core, self.limit = np.uint64((1 << bits) - 1), core, 1 << (bits - 1)
+        self.slot = np.full(1 << bits, -1, np.int32)
+        self.key, self.check = (np.zeros(self.limit, np.uint64) for _ in range(2))
+        self.rows = 0
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Row of each unit, -1 if it is new."""
+        out = np.full(len(key), -1, np.int64)
+        todo, at = np.arange(len(key)), (key & self.mask).astype(np.int64)
+        while len(todo):
+            row = self.slot[at]
+            held = row >= 0
+            hit = held & (self.key[row] == key[todo]) & (self.check[row] == check[todo])
+            out[todo[hit]] = row[hit]
+            on = held & ~hit
+            todo, at = todo[on], (at[on] + 1) & int(self.mask)
+        return out
+
+    def add(self, key: np.ndarray, check: np.ndarray) -> None:
+        """Append distinct new units as the next rows."""
+        rows = np.arange(self.rows, self.rows + len(key))
+        self.key[rows], self.check[rows] = key, check
+        self.rows += len(key)
+        at = (key & self.mask).astype(np.int64)
+        while len(rows):
+            free = self.slot[at] < 0
+            where, first = np.unique(at[free], return_index=True)
+            placed = np.flatnonzero(free)[first]
+            self.slot[where] = rows[placed]
+            left = np.ones(len(rows), bool)
+            left[placed] = False
+            rows, at = rows[left], (at[left] + 1) & int(self.mask)
+
+    def shrink(self) -> None:
+        keep = min(self.core, self.rows)
+        key, check = self.key[:keep].copy(), self.check[:keep].copy()
+        self.slot[:] = -1
+        self.rows = 0
+        self.add(key, check)
+
+
+HEAD = np.uint64(0x5851F42D4C957F2D)  # keeps units without a space before them apart
+
+
+class IdEncoder:
+    """Ids from the tokenizers library as little-endian uint32 bytes.
+
+    Texts are cut at spaces and each piece is looked up by hash in a UnitTable whose rows lead to ids in one pool. The
+    library encodes only new units; they are joined, encoded as one text and cut again before each token that starts with a
+    space, because the splitting pattern starts afresh there and nowhere else in them. A text with a piece that is empty or
+    has white space at an end (two spaces, a space beside a line break), or with a special string, goes to the library whole.
+    """
+
+    def __init__(self, path: str, bits: int = 21, core: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -153,33 +207,85 @@ class IdEncoder(UnitCache):
         vocab = spec["model"]["vocab"]
         self.opens = np.zeros(max(vocab.values()) + 2, bool)
         self.opens[[i for piece, i in vocab.items() if piece[0] == blank]] = True
+        self.table = UnitTable(bits, core)
+        self.at, self.size = np.zeros(self.table.limit, np.int64), np.zeros(self.table.limit, np.int64)
+        self.pool, self.used = np.zeros(1 << 20, "<u4"), 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
-        join = b"".join
-        if not whole:
-            return list(map(join, self.get(texts)))
-        out = list(map(join, self.get(["" if k in set(whole) else t for k, t in enumerate(texts)])))
-        for k in whole:
-            out[k] = self.bare(texts[k])
-        return out
+        whole = {k for k, t in enumerate(texts) if any(s in t for s in self.special)}
+        own = ["" if k in whole else t for k, t in enumerate(texts)] if whole else texts
+        data = np.frombuffer(" ".join(own).encode(), np.uint8)
+        size = np.fromiter((len(t) if t.isascii() else len(t.encode()) for t in own), np.int64, len(own))
+        bound = np.concatenate([[0], np.cumsum(size + 1)])
+        space = np.flatnonzero(data == 32)
+        begin, end = np.concatenate([[0], space + 1]), np.append(space, len(data))
+        first = np.searchsorted(begin, bound)  # pieces of text k: first[k] to first[k + 1] - 1, its head in front
+        up, down = powers(len(data) + 1)
+        total, plain = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(VALUES[data] * up[: len(data)], out=total[1:])
+        np.cumsum(VALUES_2[data], out=plain[1:])
+        key, check = mix((total[end] - total[begin]) * down[begin]), plain[end] - plain[begin] + (end - begin).astype(np.uint64)
+        key[first[:-1]] ^= HEAD
+        row = self.table.find(key, check)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            _, pick = np.unique(key[new], return_index=True)
+            pick = new[pick]
+            if self.table.rows + len(pick) > self.table.limit:
+                self.table.shrink()
+                self.used = int((self.at[: self.table.rows] + np.maximum(self.size[: self.table.rows], 0)).max(initial=0))
+                row = self.table.find(key, check)
+                new = np.flatnonzero(row < 0)
+                _, pick = np.unique(key[new], return_index=True)
+                pick = new[pick]
+            self.learn([data[a:b].tobytes().decode() for a, b in zip(begin[pick].tolist(), end[pick].tolist(), strict=True)], np.isin(pick, first[:-1]), key[pick], check[pick])
+            row[new] = self.table.find(key[new], check[new])
+        n = self.size[row]
+        odd = np.zeros(len(own), bool)
+        odd[np.searchsorted(first, np.flatnonzero(n < 0), side="right") - 1] = True
+        n = np.maximum(n, 0)
+        ends = np.cumsum(n)
+        ids = self.pool[np.repeat(self.at[row] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        raw, cut = ids.tobytes(), np.concatenate([[0], ends])[first].tolist()
+        return [self.bare(texts[k]) if odd[k] or k in whole else raw[4 * cut[k] : 4 * cut[k + 1]] for k in range(len(texts))]
 
     def bare(self, text: str) -> bytes:
         return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def value(self, units: list[str]) -> list[bytes]:
-        return list(map(self.bare, units))
-
-    def spaced(self, pieces: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(pieces), 4000):
-            part = pieces[i : i + 4000]
-            raw = self.bare(" " + " ".join(part))
-            cut = [*(4 * np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")])).tolist(), len(raw)]
-            if len(cut) != len(part) + 1:
+    def learn(self, pieces: list[str], head: np.ndarray, key: np.ndarray, check: np.ndarray) -> None:
+        """Rows for new pieces; a size of -1 marks those that can't stand for a unit."""
+        good = np.array([bool(p) and p[0] not in BLANK and p[-1] not in BLANK for p in pieces], bool)
+        spaced = np.flatnonzero(good & ~head)
+        parts, sizes = [], np.full(len(pieces), -1, np.int64)
+        order = []
+        for i in range(0, len(spaced), 4000):
+            own = spaced[i : i + 4000]
+            ids = np.frombuffer(self.bare(" " + " ".join([pieces[k] for k in own])), "<u4")
+            cut = np.append(np.flatnonzero(self.opens[ids]), len(ids))
+            if len(cut) != len(own) + 1:
                 raise ValueError("a unit does not start with exactly one token that starts with a space")
-            out += [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-        return out
+            parts.append(ids)
+            sizes[own] = np.diff(cut)
+            order.append(own)
+        for k in np.flatnonzero(head):
+            if pieces[k] and pieces[k][-1] in BLANK:
+                continue
+            ids = np.frombuffer(self.bare(pieces[k]), "<u4")
+            parts.append(ids)
+            sizes[k] = len(ids)
+            order.append(np.array([k]))
+        rows = np.arange(self.table.rows, self.table.rows + len(pieces))
+        self.table.add(key, check)
+        self.size[rows], self.at[rows] = sizes, 0
+        if not parts:
+            return
+        order, flat = np.concatenate(order), np.concatenate(parts)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        ends = np.cumsum(sizes[order])
+        self.at[rows[order]] = self.used + ends - sizes[order]
+        self.used += len(flat)
 
 
 @functools.lru_cache(maxsize=2)

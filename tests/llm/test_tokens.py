@@ -41,7 +41,7 @@ def test_counts_and_ids_equal_the_library(library):
 
 def test_small_caches_change_nothing(library):
     texts = fuzz(2, 500)
-    counter, encoder = RankCounter(BPE, core=3, limit=10), IdEncoder(BPE, core=3, limit=10)
+    counter, encoder = RankCounter(BPE, core=3, limit=10), IdEncoder(BPE, bits=8, core=20)
     for t in texts:
         want = library.encode(t, add_special_tokens=False).ids
         assert counter.count([t]) == [len(want)]
