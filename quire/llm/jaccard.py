@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.batches import sliced
 from quire.llm.components import components
+from quire.llm.prune import parted
 from quire.llm.words import mix, shingle_sets
 from quire.session import discard, materialise, small_batches
 
@@ -109,18 +110,30 @@ class InvertedLists:
         longest = len(lists[-1]) if lists else 1
         long = max(0, min(least - 1, int(least / (mu * math.log2(max(longest, 2)) + 1))))
         short, far = lists[: len(lists) - long], lists[len(lists) - long :]
-        found = []
-        for record, run in groupby(heapq.merge(*(x.tolist() for x in short))):
-            count = sum(1 for _ in run)
-            if count + long >= need[record]:
-                for k, own in enumerate(far):
-                    p = own.searchsorted(record)
-                    count += int(p < len(own) and own[p] == record)
-                    if count + len(far) - k - 1 < need[record]:
-                        break
-                if count >= need[record]:
-                    found.append((record, count))
-        return found
+        records, counts = merge_counts(short)
+        keep = counts + long >= need[records]
+        records, counts = records[keep], counts[keep]
+        for k, own in enumerate(far):
+            at = own.searchsorted(records)
+            at[at == len(own)] = 0
+            counts += own[at] == records
+            if k % 16 == 15 and len(records):
+                keep = counts + (len(far) - k - 1) >= need[records]
+                records, counts = records[keep], counts[keep]
+        keep = counts >= need[records]
+        return list(zip(records[keep].tolist(), counts[keep].tolist(), strict=True))
+
+
+def merge_counts(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Records of sorted lists and how many lists hold each: by a heap, or where the lists are long by a stable merge sort of
+    their runs."""
+    total = sum(map(len, lists))
+    if total < 256:
+        runs = [(record, sum(1 for _ in run)) for record, run in groupby(heapq.merge(*(x.tolist() for x in lists)))]
+        return np.array([r for r, _ in runs], np.int64), np.array([c for _, c in runs], np.int64)
+    flat = np.sort(np.concatenate(lists), kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    return flat[first], np.diff(np.append(first, len(flat)))
 
 
 def overlap_needed(sizes: np.ndarray, query: int, num: int, den: int) -> np.ndarray:
@@ -129,7 +142,7 @@ def overlap_needed(sizes: np.ndarray, query: int, num: int, den: int) -> np.ndar
 
 
 def signed(docs: DataFrame, words: int, num: int, den: int, text: str, key: str) -> DataFrame:
-    """doc, n (set size), twin (hash of the whole set), keys; of equal sets in a task only the first has keys, the others
+    """doc, n (set size), twin (hash of the whole set), keys; of equal sets in a task only the first has keys (so a large group of copies has one row per task), the others
     name it as `same`."""
 
     def run(batches):
@@ -199,7 +212,8 @@ def element_sets(wanted: DataFrame, docs: DataFrame, words: int, text: str, key:
             own = shingle_sets(texts, words)
             yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(map(len, own), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["doc", "n", "own"])
 
-    return docs.selectExpr(f"CAST(`{key}` AS long) AS doc", f"`{text}` AS t").join(wanted, "doc").select("doc", "t").mapInArrow(run, "doc long, n long, own binary")
+    likely, _ = parted(docs.selectExpr(f"CAST(`{key}` AS long) AS doc", f"`{text}` AS t"), F.col("doc"), wanted, "doc")
+    return likely.join(wanted, "doc").select("doc", "t").mapInArrow(run, "doc long, n long, own binary")
 
 
 def hub_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -290,13 +304,16 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     """
     spark = docs.sparkSession
     small_batches(spark)
-    signatures = materialise(signed(docs, words, num, den, text, key), "signed")
+    keyed = materialise(signed(docs, words, num, den, text, key), "signed")
+    members = materialise(block_members(keyed.where("size(keys) > 0")), "members")
+    signatures = materialise(keyed.drop("keys"), "sizes")
+    discard(spark, keyed)
     twins = signatures.where("n > 0 AND doc IS NOT NULL AND same = doc").groupBy("twin", "n").agg(F.min("doc").alias("first"))
     equal = signatures.where("n > 0 AND doc IS NOT NULL").select("doc", "twin", "n").join(twins, ["twin", "n"]).where("doc <> first").selectExpr("doc AS a", "first AS b")
-    leaders = signatures.where("size(keys) > 0").join(twins.selectExpr("first AS doc").distinct(), "doc", "left_semi")
-    members = materialise(block_members(leaders), "members")
-    pairs = members.where("doc <> hub").select("doc", "hub").distinct()
-    wanted = members.select("doc").distinct()
+    size = signatures.where("doc IS NOT NULL").groupBy("doc").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    pairs = members.where("doc <> hub").select("doc", "hub").distinct().join(size, "doc").join(size.toDF("hub", "hub_lo", "hub_hi"), "hub")
+    pairs = pairs.where(f"hi * {den} >= hub_lo * {num} AND hub_hi * {den} >= lo * {num}").select("doc", "hub")
+    wanted = materialise(members.select("doc").distinct(), "wanted")
     sets = materialise(element_sets(wanted, docs, words, text, key), "sets", compression="zstd")
     links = hub_links(pairs, sets, num, den).unionAll(equal)
     labels = materialise(components(links), "labels")
@@ -308,7 +325,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     labels_2 = components(labels.selectExpr("node AS a", "component AS b").unionAll(more))
     out = signatures.selectExpr("doc", "n AS n_shingles").join(labels_2.withColumnRenamed("node", "doc"), "doc", "left")
     out = materialise(out.select(F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("component", "doc").alias("component_id")), "classes")
-    for table in (signatures, members, sets, labels, rest):
+    for table in (signatures, members, wanted, sets, labels, rest):
         discard(spark, table)
     return out
 
