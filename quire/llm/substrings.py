@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.batches import sliced
+from quire.llm.prune import parted
 from quire.llm.words import VALUES_2, windows_of, words_of
 from quire.session import discard, materialise, small_batches
 
@@ -178,9 +179,10 @@ def analyse(docs: DataFrame, window: int = 50, batches: int = 3, text: str = "te
     for hit in hits[1:]:
         shared = shared.unionAll(hit)
     flagged = index.entries().join(shared.distinct(), "h", "left_semi").groupBy("doc").agg(F.collect_list("pos").alias("marks"))
-    suspects = docs.selectExpr(f"CAST(`{key}` AS long) AS doc", f"`{text}` AS t").join(flagged, "doc")
-    suspects = materialise(suspects, "suspects", compression="zstd")
+    flagged = materialise(flagged, "flagged")
     index.close()
+    likely, _ = parted(docs.selectExpr(f"CAST(`{key}` AS long) AS doc", f"`{text}` AS t"), F.col("doc"), flagged, "doc")
+    suspects = materialise(likely.join(flagged, "doc"), "suspects", compression="zstd")
     gram = min(GRAM, max(1, window // 2))
 
     def emit(batches_):
@@ -206,7 +208,7 @@ def analyse(docs: DataFrame, window: int = 50, batches: int = 3, text: str = "te
     windows = suspects.mapInArrow(emit, "h long, g int, doc long, pos int")
     removed = later_copies(windows).groupBy("doc").agg(F.collect_set("pos").alias("starts"))
     cuts = materialise(suspects.select("doc", "t").join(removed, "doc"), "cuts", compression="zstd")
-    for table in (prints, suspects, *hits):
+    for table in (prints, flagged, suspects, *hits):
         discard(spark, table)
     return base, cuts
 
@@ -265,10 +267,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, text: str = "text", key: s
 
     some = cuts.mapInArrow(rest, "__doc long, __text string, __kept string").select("__doc", F.xxhash64("__text").alias("__of"), "__kept").dropDuplicates(["__doc", "__of"])
     copies = base.where(f"copy AND n_words >= {window}").select(F.col("doc").alias("__doc"), F.lit(True).alias("__copy")).distinct()
-    found = docs.join(some, (docs[key] == some["__doc"]) & (F.xxhash64(docs[text]) == some["__of"]), "left").drop("__doc", "__of")
+    touched = materialise(some.select("__doc").unionAll(copies.select("__doc")).distinct(), "touched")
+    likely, rest_ = parted(docs, docs[key], touched, "__doc")
+    found = likely.join(some, (likely[key] == some["__doc"]) & (F.xxhash64(likely[text]) == some["__of"]), "left").drop("__doc", "__of")
     found = found.join(copies, found[key] == copies["__doc"], "left")
-    kept = F.when(F.col("__copy"), F.lit("")).otherwise(F.coalesce("__kept", docs[text]))
-    return found.select(*[kept.alias(c) if c == text else docs[c] for c in docs.columns])
+    kept = F.when(F.col("__copy"), F.lit("")).otherwise(F.coalesce("__kept", likely[text]))
+    return found.select(*[kept.alias(c) if c == text else likely[c] for c in docs.columns]).unionAll(rest_)
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
