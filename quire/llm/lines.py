@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.batches import sliced
+from quire.llm.prune import parted
 from quire.llm.words import VALUES, mix, powers
 from quire.session import discard, materialise, small_batches
 
@@ -170,8 +171,10 @@ def line_report(docs: DataFrame, text: str = "text", key: str = "doc_id", **rule
 
     gone = later_lines(docs, text=text, key=key, **rules)
     rows = docs.selectExpr(f"CAST(`{key}` AS long) AS k", f"`{text}` AS t").withColumn("th", F.xxhash64("t"))
-    joined = rows.join(gone.withColumnRenamed("doc", "k"), ["k", "th"], "left").select("k", "t", "gone", "depth")
-    return joined.mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string, depth int")
+    likely, rest = parted(rows, F.col("k"), gone, "doc")
+    joined = likely.join(gone.withColumnRenamed("doc", "k"), ["k", "th"], "left").select("k", "t", "gone", "depth")
+    rest = rest.select("k", "t", F.lit(None).cast("array<int>").alias("gone"), F.lit(None).cast("int").alias("depth"))
+    return joined.unionAll(rest).mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string, depth int")
 
 
 def drop_later_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **rules: int) -> DataFrame:
@@ -190,8 +193,9 @@ def drop_later_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", *
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     gone = later_lines(docs, text=text, key=key, **rules).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, (docs[key].cast("long") == gone["__doc"]) & (F.xxhash64(docs[text]) == gone["__th"]), "left")
-    return joined.select(*[docs[c] for c in names], "__gone").mapInArrow(run, docs.schema)
+    likely, rest = parted(docs, docs[key], gone, "__doc")
+    joined = likely.join(gone, (likely[key].cast("long") == gone["__doc"]) & (F.xxhash64(likely[text]) == gone["__th"]), "left")
+    return joined.select(*[likely[c] for c in names], "__gone").mapInArrow(run, docs.schema).unionAll(rest)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
