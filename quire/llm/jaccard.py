@@ -3,8 +3,8 @@
 Documents meet through segment signatures: the hash space is cut into more segments than two linked sets can differ in
 elements, so at least one segment is equal in both; each document emits keys of as many non-empty segments as its size asks
 for. Within a block of equal keys every document is searched against the block's first one and linked documents are contracted.
-Blocks that still hold several components are joined into clusters, and the documents of a cluster are searched against
-each other across components. All searches are T-occurrence searches over inverted lists; no pair is written that is no link.
+Blocks whose other documents lie in several components are joined into clusters, and the documents of a cluster are searched
+against each other across components. All searches are T-occurrence searches over inverted lists; no pair is written that is no link.
 """
 
 from __future__ import annotations
@@ -318,9 +318,11 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     links = hub_links(pairs, sets, num, den).unionAll(equal)
     labels = materialise(components(links), "labels")
     named = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = materialise(named.join(mixed, "key", "left_semi").groupBy("doc", "hub").agg(F.min("component").alias("component")), "rest")
-    clusters = components(rest.selectExpr("doc AS a", "hub AS b")).toDF("doc", "cluster")
+    # every document has been held against its block's hub; what is open are pairs of others in different components
+    others = named.where("doc <> hub")
+    mixed = others.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("doc").alias("leader")).where("x <> y").select("key", "leader")
+    rest = materialise(others.join(mixed, "key").groupBy("doc", "leader").agg(F.min("component").alias("component")), "rest")
+    clusters = components(rest.selectExpr("doc AS a", "leader AS b")).toDF("doc", "cluster")
     more = cluster_links(rest.select("doc", "component").distinct().join(clusters, "doc"), sets, num, den)
     labels_2 = components(labels.selectExpr("node AS a", "component AS b").unionAll(more))
     out = signatures.selectExpr("doc", "n AS n_shingles").join(labels_2.withColumnRenamed("node", "doc"), "doc", "left")
