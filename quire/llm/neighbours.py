@@ -294,7 +294,7 @@ def walk(queries: DataFrame, way: DataFrame, codes: DataFrame, entries: list[tup
             v = decode(table)
             near, sizes = flat(table, "ids")
             scale = flat(table, "scales")[0]
-            raw = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int8).reshape(len(near), -1).astype(np.float32) * scale.astype(np.float32)[:, None]
+            raw = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int8).reshape(len(near), v.shape[1]).astype(np.float32) * scale.astype(np.float32)[:, None]
             d = ((raw - np.repeat(v, sizes, 0)) ** 2).sum(1)
             yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("id"), lists(near, sizes, pa.int64()), lists(d, sizes, pa.float32())], names=["query", "id", "ids", "near"])
 
@@ -321,7 +321,8 @@ def walk(queries: DataFrame, way: DataFrame, codes: DataFrame, entries: list[tup
         going = now.select("query", "code", "scale", F.explode(leave).alias("e")).select("query", "code", "scale", F.col("e.pool").alias("id"))
         if going.isEmpty():
             return now.select("query", "pool", "dists")
-        looked = going.join(way, "id").select("query", "code", "scale", "id", "ids", "codes", "scales").mapInArrow(look, "query long, id long, ids array<long>, near array<float>")
+        seen = [F.coalesce("ids", F.array().cast("array<long>")).alias("ids"), F.coalesce("codes", F.lit(b"")).alias("codes"), F.coalesce("scales", F.array().cast("array<double>")).alias("scales")]
+        looked = going.join(way, "id", "left").select("query", "code", "scale", "id", *seen).mapInArrow(look, "query long, id long, ids array<long>, near array<float>")
         empty = [F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("scale")]
         rows = now.withColumn("kind", F.lit(0).cast("long")).unionByName(looked.select("query", *empty, F.col("ids").alias("pool"), F.col("near").alias("dists"), F.transform("ids", lambda x: F.lit(False)).alias("left"), (F.col("id") + 1).alias("kind")))
         after = materialise(rows.repartition("query").sortWithinPartitions("query", F.col("kind") != 0).mapInArrow(take, STATE), "walk")
