@@ -8,6 +8,7 @@ from quire.llm.jaccard import op2_jaccard_join
 from quire.llm.language import op1_language
 from quire.llm.lines import op9_line_dedup
 from quire.llm.neighbours import op5_neighbours
+from quire.llm.oracle import ORACLE
 from quire.llm.packing import op3_harmonic_packing
 from quire.llm.pieces import op8_pieces
 from quire.llm.quality import op10_quality
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
