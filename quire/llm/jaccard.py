@@ -3,8 +3,9 @@
 Documents meet through segment signatures: the hash space is cut into more segments than two linked sets can differ in
 elements, so at least one segment is equal in both; each document emits keys of as many non-empty segments as its size asks
 for. Within a block of equal keys every document is searched against the block's first one and linked documents are contracted.
-Blocks whose other documents lie in several components are joined into clusters, and the documents of a cluster are searched
-against each other across components. All searches are T-occurrence searches over inverted lists; no pair is written that is no link.
+Blocks whose other documents lie in several components are gathered by their first other document, and the documents of such a
+unit are searched against each other across components. Sketches of two bytes an element come first; whole sets travel only
+for pairs that the sketches leave open. All searches are T-occurrence searches over inverted lists; no pair is written that is no link.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from quire.session import discard, materialise, small_batches
 RATIO = 1.5
 CHUNK = 128  # documents under one set of inverted lists when they are held against a hub
 DEAL = 512  # documents of one hub that one task searches at most, about
-ELEMENTS = 2_000_000  # set elements that one unit of a cluster holds at most, about
+ELEMENTS = 4_000_000  # sketch elements that one part of a unit holds at most, about
 
 
 class Signatures:
@@ -204,21 +205,45 @@ def block_members(signatures: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, doc long, hub long")
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The upper 16 bits of sorted hashes. Two sets share at most as many elements as their sketches do as multisets."""
+    return (own >> np.uint64(48)).astype(np.uint16)
+
+
+def numbered(raw: bytes) -> np.ndarray:
+    """A sketch as a sorted set: each value with the number of equal ones before it, so that multisets intersect as sets."""
+    own = np.frombuffer(raw, np.uint16).astype(np.uint64)
+    place = np.arange(len(own))
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], own[1:] != own[:-1]]), place, 0)) if len(own) else place
+    return own << np.uint64(32) | (place - first).astype(np.uint64)
+
+
+def whole(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
 def element_sets(wanted: DataFrame, docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
-    """(doc, n, own) of the documents in wanted: the sorted hashes of their shingles, from whole texts."""
+    """(doc, n, own, small) of the documents in wanted: the sorted hashes of their shingles and the sketch, from whole texts."""
 
     def run(batches):
         for part, texts in sliced(batches, "t"):
             own = shingle_sets(texts, words)
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(map(len, own), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["doc", "n", "own"])
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(map(len, own), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([sketch(x).tobytes() for x in own], pa.binary())], names=["doc", "n", "own", "small"])
 
     likely, _ = parted(docs.selectExpr(f"CAST(`{key}` AS long) AS doc", f"`{text}` AS t"), F.col("doc"), wanted, "doc")
-    return likely.join(wanted, "doc").select("doc", "t").mapInArrow(run, "doc long, n long, own binary")
+    return likely.join(wanted, "doc").select("doc", "t").mapInArrow(run, "doc long, n long, own binary, small binary")
 
 
 def hub_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (doc, hub) that link, as (a, b): each hub's set is searched over inverted lists of its documents, CHUNK at
-    a time. The documents of a large hub are dealt over several tasks, each of which gets the hub's set."""
+    """The pairs (doc, hub) that link, as (a, b). Sketches sort out most pairs that do not; the rest is held against each
+    other with whole sets."""
+    open_ = materialise(hub_search(pairs, sets.select("doc", F.col("small").alias("own")), num, den, numbered), "open")
+    return hub_search(open_.toDF("doc", "hub"), sets.select("doc", "own"), num, den, whole)
+
+
+def hub_search(pairs: DataFrame, sets: DataFrame, num: int, den: int, decode) -> DataFrame:
+    """Pairs (a, b) of (doc, hub) that share enough: each hub's set is searched over inverted lists of its documents, CHUNK
+    at a time. The documents of a large hub are dealt over several tasks, each of which gets the hub's set."""
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("parts"))
     dealt = pairs.join(parts, "hub").select("doc", "hub", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("part"), F.lit(1).alias("is_doc"))
     heads = parts.select(F.col("hub").alias("doc"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("is_doc"))
@@ -237,7 +262,7 @@ def hub_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             for h, is_doc, doc, raw in zip(*(batch.column(c).to_pylist() for c in ("hub", "is_doc", "doc", "own")), strict=True):
                 if held and (h != hub or not is_doc or len(held) >= CHUNK):
                     yield flush()
-                own = np.frombuffer(raw, np.uint64)
+                own = decode(raw)
                 if is_doc:
                     held.append((doc, own))
                 else:
@@ -249,18 +274,18 @@ def hub_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return rows.select("hub", "is_doc", "doc", "own").mapInArrow(search, "a long, b long")
 
 
-def cluster_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between different components inside each cluster of members (doc, component, cluster).
+def unit_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components within the units of members (doc, component, leader) whose sketches share enough.
 
-    A cluster of more than ELEMENTS elements is cut into parts; every two parts meet in one unit, so a unit is bounded and
-    no pair of parts is left out. Within a unit every document outside the largest component is searched over the inverted
-    lists of all others.
+    A unit of more than ELEMENTS elements is cut into parts, every two of which meet once, so what a task holds is bounded
+    and no pair of parts is left out. Every document outside the largest component is searched over the inverted lists of
+    all others.
     """
     sized = members.join(sets.select("doc", "n"), "doc")
-    parts = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / ELEMENTS).cast("int").alias("parts"))
-    placed = members.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
-    units = placed.select("doc", "component", "cluster", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    units = units.select("doc", "component", "cluster", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).distinct()
+    parts = sized.groupBy("leader").agg(F.ceil(F.sum("n") / ELEMENTS).cast("int").alias("parts"))
+    placed = members.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
+    units = placed.select("doc", "component", "leader", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    units = units.select("doc", "component", "leader", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).distinct()
 
     def search(batches):
         unit, held = None, []
@@ -283,16 +308,16 @@ def cluster_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> Da
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for c, i, j, part, doc, component, raw in zip(*(batch.column(x).to_pylist() for x in ("cluster", "i", "j", "part", "doc", "component", "own")), strict=True):
+            for c, i, j, part, doc, component, raw in zip(*(batch.column(x).to_pylist() for x in ("leader", "i", "j", "part", "doc", "component", "own")), strict=True):
                 if held and (c, i, j) != unit:
                     yield flush()
                 unit = (c, i, j)
-                held.append((doc, component, part, np.frombuffer(raw, np.uint64)))
+                held.append((doc, component, part, numbered(raw)))
         if held:
             yield flush()
 
-    rows = units.join(sets, "doc").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc")
-    return rows.select("cluster", "i", "j", "part", "doc", "component", "own").mapInArrow(search, "a long, b long")
+    rows = units.join(sets.select("doc", F.col("small").alias("own")), "doc").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "doc")
+    return rows.select("leader", "i", "j", "part", "doc", "component", "own").mapInArrow(search, "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -321,13 +346,14 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     # every document has been held against its block's hub; what is open are pairs of others in different components
     others = named.where("doc <> hub")
     mixed = others.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("doc").alias("leader")).where("x <> y").select("key", "leader")
-    rest = materialise(others.join(mixed, "key").groupBy("doc", "leader").agg(F.min("component").alias("component")), "rest")
-    clusters = components(rest.selectExpr("doc AS a", "leader AS b")).toDF("doc", "cluster")
-    more = cluster_links(rest.select("doc", "component").distinct().join(clusters, "doc"), sets, num, den)
+    rest = others.join(mixed, "key").groupBy("doc", "leader").agg(F.min("component").alias("component"))
+    rest = materialise(rest, "rest")
+    across = materialise(unit_pairs(rest, sets, num, den).selectExpr("greatest(a, b) AS doc", "least(a, b) AS hub").distinct(), "across")
+    more = hub_search(across, sets.select("doc", "own"), num, den, whole)
     labels_2 = components(labels.selectExpr("node AS a", "component AS b").unionAll(more))
     out = signatures.selectExpr("doc", "n AS n_shingles").join(labels_2.withColumnRenamed("node", "doc"), "doc", "left")
     out = materialise(out.select(F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("component", "doc").alias("component_id")), "classes")
-    for table in (signatures, members, wanted, sets, labels, rest):
+    for table in (signatures, members, wanted, sets, labels, rest, across):
         discard(spark, table)
     return out
 
