@@ -234,9 +234,11 @@ def element_sets(wanted: DataFrame, docs: DataFrame, words: int, text: str, key:
     return likely.join(wanted, "doc").select("doc", "t").mapInArrow(run, "doc long, n long, own binary, small binary")
 
 
-def hub_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (doc, hub) that link, as (a, b). Sketches sort out most pairs that do not; the rest is held against each
-    other with whole sets."""
+def hub_links(pairs: DataFrame, sets: DataFrame, num: int, den: int, sketches: bool) -> DataFrame:
+    """The pairs (doc, hub) that link, as (a, b). Sketches, if wanted, sort out most pairs that do not; the rest is held
+    against each other with whole sets."""
+    if not sketches:
+        return hub_search(pairs, sets.select("doc", "own"), num, den, whole)
     open_ = materialise(hub_search(pairs, sets.select("doc", F.col("small").alias("own")), num, den, numbered), "open")
     return hub_search(open_.toDF("doc", "hub"), sets.select("doc", "own"), num, den, whole)
 
@@ -274,8 +276,9 @@ def hub_search(pairs: DataFrame, sets: DataFrame, num: int, den: int, decode) ->
     return rows.select("hub", "is_doc", "doc", "own").mapInArrow(search, "a long, b long")
 
 
-def unit_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components within the units of members (doc, component, leader) whose sketches share enough.
+def unit_pairs(members: DataFrame, sets: DataFrame, num: int, den: int, column: str, decode) -> DataFrame:
+    """Pairs (a, b) of different components within the units of members (doc, component, leader) whose sets, or
+    sketches, share enough.
 
     A unit of more than ELEMENTS elements is cut into parts, every two of which meet once, so what a task holds is bounded
     and no pair of parts is left out. Every document outside the largest component is searched over the inverted lists of
@@ -312,20 +315,21 @@ def unit_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
                 if held and (c, i, j) != unit:
                     yield flush()
                 unit = (c, i, j)
-                held.append((doc, component, part, numbered(raw)))
+                held.append((doc, component, part, decode(raw)))
         if held:
             yield flush()
 
-    rows = units.join(sets.select("doc", F.col("small").alias("own")), "doc").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "doc")
+    rows = units.join(sets.select("doc", F.col(column).alias("own")), "doc").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "doc")
     return rows.select("leader", "i", "j", "part", "doc", "component", "own").mapInArrow(search, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
+def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id", sketches: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest key reachable by links, itself included).
 
     A text's set holds its distinct lower-cased (A-Z) word shingles; with fewer words the whole sequence is one shingle.
     Two texts link when den * intersection >= num * union. Texts without words (null, empty) have no shingles and no link;
-    rows with a null key keep a null component; rows with equal keys count as one document with the sets of each.
+    rows with a null key keep a null component; rows with equal keys count as one document with the sets of each. `sketches`
+    changes no result: it pays where many candidates miss the threshold, at low ones.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -340,7 +344,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     pairs = pairs.where(f"hi * {den} >= hub_lo * {num} AND hub_hi * {den} >= lo * {num}").select("doc", "hub")
     wanted = materialise(members.select("doc").distinct(), "wanted")
     sets = materialise(element_sets(wanted, docs, words, text, key), "sets", compression="zstd")
-    links = hub_links(pairs, sets, num, den).unionAll(equal)
+    links = hub_links(pairs, sets, num, den, sketches).unionAll(equal)
     labels = materialise(components(links), "labels")
     named = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     # every document has been held against its block's hub; what is open are pairs of others in different components
@@ -348,7 +352,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     mixed = others.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("doc").alias("leader")).where("x <> y").select("key", "leader")
     rest = others.join(mixed, "key").groupBy("doc", "leader").agg(F.min("component").alias("component"))
     rest = materialise(rest, "rest")
-    across = materialise(unit_pairs(rest, sets, num, den).selectExpr("greatest(a, b) AS doc", "least(a, b) AS hub").distinct(), "across")
+    across = materialise(unit_pairs(rest, sets, num, den, *(("small", numbered) if sketches else ("own", whole))).selectExpr("greatest(a, b) AS doc", "least(a, b) AS hub").distinct(), "across")
     more = hub_search(across, sets.select("doc", "own"), num, den, whole)
     labels_2 = components(labels.selectExpr("node AS a", "component AS b").unionAll(more))
     out = signatures.selectExpr("doc", "n AS n_shingles").join(labels_2.withColumnRenamed("node", "doc"), "doc", "left")
@@ -359,4 +363,4 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, num=90, den=100)
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, num=90, den=100, sketches=False)
