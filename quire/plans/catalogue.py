@@ -412,7 +412,7 @@ def body_lines(spark: SparkSession, d: str) -> DataFrame:
     k, n = F.col("ln") % 6, F.col("ln").cast("string")
     mixed = own.select("doc_id", F.when(k == 0, F.concat(F.lit(" "), n)).when(k == 1, F.concat(F.lit("Page "), n)).when(k == 2, F.concat(F.lit("- "), n, F.lit(" -"))).when(k == 3, F.concat(n, F.lit(" / 99"))).otherwise(F.col("line")).alias("text"))
     common = own.groupBy("line").agg(F.count_distinct("doc_id").alias("n")).where("n >= 20")
-    repeated = docs(spark, d).select("doc_id").join(F.broadcast(common.select(F.col("line").alias("text")).limit(10_000)))
+    repeated = mixed.select("doc_id", "text").join(common.select(F.col("line").alias("text")), "text", "left_semi")
     return layout.body_lines(mixed, repeated).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
