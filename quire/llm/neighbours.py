@@ -1,9 +1,9 @@
 """Approximate nearest neighbours: NN-descent by Spark joins, and greedy graph search (operator 5).
 
-Distinct vectors are nodes, kept as one signed byte per component and a scale of their own. Random-hyperplane leaves give a
-first neighbour list; each descent round meets the neighbours and reverse neighbours of every node and offers each of them
-the closer ones. Queries walk the finished graph with a pool of best nodes; the pool's head is measured again in double
-precision on the original vectors.
+Distinct vectors are nodes, kept as the bytes of their components in the precision of the input, so near copies stay apart;
+all distances are taken in double precision. Random-hyperplane leaves give a first neighbour list; each descent round meets
+the neighbours and reverse neighbours of every node and offers each of them the closer ones. Queries walk the finished graph
+with a pool of best nodes; the pool's head is scored on the original vectors.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import discard, materialise
+from quire.session import discard, materialise, small_batches
 
 K = 24  # neighbours of a node
 REVERSE = 24  # reverse neighbours that a node meets in a round, and that it leads to in a search beside its own
@@ -25,7 +25,8 @@ ROUNDS = 7
 POOL = 320  # best nodes that a query keeps while it walks
 BEAM = 64  # nodes that a query leaves at once
 ENTRIES = 16  # nodes from which every query starts beside itself
-RECHECK = 48  # nodes whose distance is measured again on the original vectors
+HEAD = 48  # best nodes of the pool that are scored
+LOOK = 500  # routes that a search measures at once
 
 
 def complete_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -72,22 +73,23 @@ def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
 
 
-def decode(table: pa.Table, code: str = "code", scale: str = "scale") -> np.ndarray:
-    """Vectors (rows, dimension) of code and scale columns."""
-    raw = b"".join(table.column(code).to_pylist())
-    return np.frombuffer(raw, np.int8).reshape(table.num_rows, -1).astype(np.float32) * array(table, scale).astype(np.float32)[:, None]
+def decode(codes: list[bytes], kind: str) -> np.ndarray:
+    """Vectors (rows, dimension) of codes, in double precision."""
+    return np.frombuffer(b"".join(codes), kind).reshape(len(codes), -1).astype(np.float64)
 
 
-def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0)
+def squared(v: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows; taken about their mean, so that a tight group far from zero keeps its digits."""
+    v = v - v.mean(0)
+    own = (v * v).sum(1)
+    return np.maximum(own[:, None] + own - 2 * (v @ v.T), 0)
 
 
-def nodes_of(vectors: DataFrame, dimension: int, bits: int, seed: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(id, code, scale) and the leaf table (tree, leaf, place, id, code, scale) of vectors (id, v)."""
+def nodes_of(vectors: DataFrame, dimension: int, bits: int, kind: str, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(id, code) and the leaf table (tree, leaf, place, id, code) of vectors (id, v); codes are of the numpy type kind."""
 
-    def encode(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        scale = np.abs(v).max(1) / 127
-        return np.rint(v / scale[:, None]).astype(np.int8), scale
+    def encode(v: np.ndarray) -> pa.Array:
+        return pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())
 
     def stack(batch: pa.RecordBatch) -> np.ndarray:
         return np.asarray(batch.column("v").flatten()).astype(np.float64).reshape(batch.num_rows, dimension)
@@ -95,8 +97,7 @@ def nodes_of(vectors: DataFrame, dimension: int, bits: int, seed: int = 5) -> tu
     def codes(batches):
         for batch in batches:
             if batch.num_rows:
-                code, scale = encode(stack(batch))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale)], names=["id", "code", "scale"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), encode(stack(batch))], names=["id", "code"])
 
     def leaves(batches):
         rng = np.random.default_rng(seed)
@@ -105,33 +106,32 @@ def nodes_of(vectors: DataFrame, dimension: int, bits: int, seed: int = 5) -> tu
             if not batch.num_rows:
                 continue
             v = stack(batch)
-            code, scale = encode(v)
-            raw = pa.array([c.tobytes() for c in code], pa.binary())
+            raw = encode(v)
             for tree in range(TREES):
                 side = v @ planes[tree]
                 leaf = ((side[:, :bits] > 0) << np.arange(bits)).sum(1) if bits else np.zeros(len(v), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), tree, np.int32)), pa.array(leaf.astype(np.int64)), pa.array(side[:, bits]), batch.column("id"), raw, pa.array(scale)], names=["tree", "leaf", "place", "id", "code", "scale"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), tree, np.int32)), pa.array(leaf.astype(np.int64)), pa.array(side[:, bits]), batch.column("id"), raw], names=["tree", "leaf", "place", "id", "code"])
 
-    return vectors.mapInArrow(codes, "id long, code binary, scale double"), vectors.mapInArrow(leaves, "tree int, leaf long, place double, id long, code binary, scale double")
+    return vectors.mapInArrow(codes, "id long, code binary"), vectors.mapInArrow(leaves, "tree int, leaf long, place double, id long, code binary")
 
 
 OFFER = "id long, ids array<long>, dists array<float>, fresh array<boolean>"
 
 
-def leaf_offers(leaves: DataFrame) -> DataFrame:
+def leaf_offers(leaves: DataFrame, kind: str) -> DataFrame:
     """The K nearest of each node within its leaf; leaves larger than LEAF are cut along one more projection."""
 
     def run(batches):
         for table in complete_groups(batches, ["tree", "leaf"]):
             tree, leaf = array(table, "tree"), array(table, "leaf")
             edge = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (leaf[1:] != leaf[:-1]), [True]]))
-            v, ids = decode(table), array(table, "id")
+            raw, ids = table.column("code"), array(table, "id")
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 parts = max(1, -(-(b - a) // LEAF))
                 for own in np.array_split(np.arange(a, b), parts):
                     if len(own) < 2:
                         continue
-                    d = squared(v[own], v[own])
+                    d = squared(decode(raw.take(pa.array(own)).to_pylist(), kind))
                     np.fill_diagonal(d, np.inf)
                     k = min(K, len(own) - 1)
                     best = np.argpartition(d, k - 1, 1)[:, :k]
@@ -166,7 +166,7 @@ def merged(offers: DataFrame) -> DataFrame:
     return offers.repartition("id").sortWithinPartitions("id").mapInArrow(run, OFFER)
 
 
-def meetings(graph: DataFrame, codes: DataFrame) -> DataFrame:
+def meetings(graph: DataFrame, codes: DataFrame, kind: str) -> DataFrame:
     """What a round offers: at each centre, its neighbours and up to REVERSE reverse neighbours (chosen by hash) meet; a pair
     with a fresh member is offered to whichever of both it is closer to than its present worst neighbour."""
 
@@ -182,7 +182,7 @@ def meetings(graph: DataFrame, codes: DataFrame) -> DataFrame:
         for table in complete_groups(batches, ["centre"]):
             centre, ids = array(table, "centre"), array(table, "id")
             new, back, worst, pick = array(table, "new"), array(table, "back"), array(table, "worst"), array(table, "pick")
-            v = decode(table)
+            v = decode(table.column("code").to_pylist(), kind)
             edge = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1], [True]]))
             out = []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -195,7 +195,7 @@ def meetings(graph: DataFrame, codes: DataFrame) -> DataFrame:
                 own = own[np.concatenate([[True], ids[own][1:] != ids[own][:-1]])]
                 if len(own) < 2 or not new[own].any():
                     continue
-                d = squared(v[own], v[own])
+                d = squared(v[own])
                 good = (d < worst[own][:, None]) & (new[own][:, None] | new[own])
                 np.fill_diagonal(good, False)
                 to, of = np.nonzero(good)
@@ -219,12 +219,12 @@ def meetings(graph: DataFrame, codes: DataFrame) -> DataFrame:
     return rows.mapInArrow(meet, OFFER)
 
 
-def descend(codes: DataFrame, leaves: DataFrame) -> DataFrame:
+def descend(codes: DataFrame, leaves: DataFrame, kind: str) -> DataFrame:
     """The neighbour graph (id, ids, dists, fresh); rounds end early when less than a thousandth of the entries is fresh."""
     spark = codes.sparkSession
-    graph = materialise(merged(leaf_offers(leaves)), "graph")
+    graph = materialise(merged(leaf_offers(leaves, kind)), "graph")
     for _ in range(ROUNDS):
-        offers = meetings(graph, codes).unionAll(graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False))))
+        offers = meetings(graph, codes, kind).unionAll(graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False))))
         after = materialise(merged(offers), "graph")
         changed, entries = after.agg(F.sum(F.size(F.filter("fresh", lambda x: x))), F.sum(F.size("ids"))).first()
         discard(spark, graph)
@@ -235,7 +235,7 @@ def descend(codes: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def routes(graph: DataFrame, codes: DataFrame) -> DataFrame:
-    """(id, ids, codes, scales): what a search sees from a node: its neighbours and its nearest REVERSE reverse neighbours."""
+    """(id, ids, codes): what a search sees from a node: its neighbours and its nearest REVERSE reverse neighbours."""
     edges = graph.select("id", F.explode(F.arrays_zip("ids", "dists")).alias("e")).select("id", F.col("e.ids").alias("to"), F.col("e.dists").alias("d"))
     both = edges.select("id", "to", "d", F.lit(False).alias("back")).unionAll(edges.select(F.col("to").alias("id"), F.col("id").alias("to"), "d", F.lit(True).alias("back")))
     seen = both.join(codes.withColumnRenamed("id", "to"), "to")
@@ -243,7 +243,7 @@ def routes(graph: DataFrame, codes: DataFrame) -> DataFrame:
     def run(batches):
         for table in complete_groups(batches, ["id"]):
             own, to, back = array(table, "id"), array(table, "to"), array(table, "back")
-            code, scale = table.column("code").to_pylist(), array(table, "scale")
+            code = table.column("code").to_pylist()
             edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
             rows = []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -251,52 +251,52 @@ def routes(graph: DataFrame, codes: DataFrame) -> DataFrame:
                 known = set(to[at[~back[at]]].tolist())
                 more = [i for i in at[back[at]].tolist() if int(to[i]) not in known][:REVERSE]
                 at = [*at[~back[at]].tolist(), *more]
-                rows.append((own[a], to[at], b"".join(code[i] for i in at), scale[at]))
+                rows.append((own[a], to[at], b"".join(code[i] for i in at)))
             size = [len(r[1]) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), lists(np.concatenate([r[1] for r in rows]), size, pa.int64()), pa.array([r[2] for r in rows], pa.binary()), lists(np.concatenate([r[3] for r in rows]), size, pa.float64())], names=["id", "ids", "codes", "scales"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), lists(np.concatenate([r[1] for r in rows]), size, pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["id", "ids", "codes"])
 
-    return seen.repartition("id").sortWithinPartitions("id", "d", "to").mapInArrow(run, "id long, ids array<long>, codes binary, scales array<double>")
+    return seen.repartition("id").sortWithinPartitions("id", "d", "to").mapInArrow(run, "id long, ids array<long>, codes binary")
 
 
-STATE = "query long, code binary, scale double, pool array<long>, dists array<float>, left array<boolean>"
+STATE = "query long, code binary, pool array<long>, dists array<double>, left array<boolean>"
 
 
-def walk(queries: DataFrame, way: DataFrame, codes: DataFrame, entries: list[tuple]) -> DataFrame:
-    """(query, pool, dists): the best POOL nodes that each query (query, code, scale) reaches on the graph.
+def walk(queries: DataFrame, way: DataFrame, entries: list[tuple], kind: str) -> DataFrame:
+    """(query, pool, dists): the best POOL nodes that each query (query, code) reaches on the graph.
 
     In each step a query leaves up to BEAM best nodes of its pool that it has not left yet; it ends when none remains.
     """
     spark = queries.sparkSession
     entry_ids = np.array([e[0] for e in entries], np.int64)
-    entry_vectors = np.stack([np.frombuffer(e[1], np.int8).astype(np.float32) * np.float32(e[2]) for e in entries])
+    entry_vectors = decode([bytes(e[1]) for e in entries], kind)
 
     def begin(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if not table.num_rows:
                 continue
-            v, query = decode(table), array(table, "query")
-            d = squared(v, entry_vectors)
+            v, query = decode(table.column("code").to_pylist(), kind), array(table, "query")
+            d = np.stack([((v - e) ** 2).sum(1) for e in entry_vectors], 1)
             pools = [dict(zip([int(q), *entry_ids.tolist()], [0.0, *row.tolist()], strict=True)) for q, row in zip(query, d, strict=True)]
             yield state(table, [sorted(p.items(), key=lambda x: (x[1], x[0])) for p in pools], [set() for _ in pools])
 
     def state(table, pools, gone):
         size = [len(p) for p in pools]
         return pa.RecordBatch.from_arrays(
-            [table.column(c).combine_chunks() if isinstance(table.column(c), pa.ChunkedArray) else table.column(c) for c in ("query", "code", "scale")]
-            + [lists([i for p in pools for i, _ in p], size, pa.int64()), lists([d for p in pools for _, d in p], size, pa.float32()), lists([i in g for p, g in zip(pools, gone, strict=True) for i, _ in p], size, pa.bool_())],
-            names=["query", "code", "scale", "pool", "dists", "left"],
+            [table.column(c).combine_chunks() if isinstance(table.column(c), pa.ChunkedArray) else table.column(c) for c in ("query", "code")]
+            + [lists([i for p in pools for i, _ in p], size, pa.int64()), lists([d for p in pools for _, d in p], size, pa.float64()), lists([i in g for p, g in zip(pools, gone, strict=True) for i, _ in p], size, pa.bool_())],
+            names=["query", "code", "pool", "dists", "left"],
         )
 
     def look(batches):
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            v = decode(table)
-            near, sizes = flat(table, "ids")
-            scale = flat(table, "scales")[0]
-            raw = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int8).reshape(len(near), v.shape[1]).astype(np.float32) * scale.astype(np.float32)[:, None]
-            d = ((raw - np.repeat(v, sizes, 0)) ** 2).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("id"), lists(near, sizes, pa.int64()), lists(d, sizes, pa.float32())], names=["query", "id", "ids", "near"])
+            for at in range(0, batch.num_rows, LOOK):
+                part = batch.slice(at, LOOK)
+                v = decode(part.column("code").to_pylist(), kind)
+                near, sizes = flat(pa.Table.from_batches([part]), "ids")
+                raw = np.frombuffer(b"".join(part.column("codes").to_pylist()), kind).reshape(len(near), v.shape[1])
+                d = ((raw - np.repeat(v, sizes, 0)) ** 2).sum(1)
+                yield pa.RecordBatch.from_arrays([part.column("query"), part.column("id"), lists(near, sizes, pa.int64()), lists(d, sizes, pa.float64())], names=["query", "id", "ids", "near"])
 
     def take(batches):
         for table in complete_groups(batches, ["query"]):
@@ -318,13 +318,13 @@ def walk(queries: DataFrame, way: DataFrame, codes: DataFrame, entries: list[tup
     now = materialise(queries.mapInArrow(begin, STATE), "walk")
     while True:
         leave = F.slice(F.filter(F.arrays_zip("pool", "left"), lambda x: ~x["left"]), 1, BEAM)
-        going = now.select("query", "code", "scale", F.explode(leave).alias("e")).select("query", "code", "scale", F.col("e.pool").alias("id"))
+        going = now.select("query", "code", F.explode(leave).alias("e")).select("query", "code", F.col("e.pool").alias("id"))
         if going.isEmpty():
             return now.select("query", "pool", "dists")
-        seen = [F.coalesce("ids", F.array().cast("array<long>")).alias("ids"), F.coalesce("codes", F.lit(b"")).alias("codes"), F.coalesce("scales", F.array().cast("array<double>")).alias("scales")]
-        looked = going.join(way, "id", "left").select("query", "code", "scale", "id", *seen).mapInArrow(look, "query long, id long, ids array<long>, near array<float>")
-        empty = [F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("scale")]
-        rows = now.withColumn("kind", F.lit(0).cast("long")).unionByName(looked.select("query", *empty, F.col("ids").alias("pool"), F.col("near").alias("dists"), F.transform("ids", lambda x: F.lit(False)).alias("left"), (F.col("id") + 1).alias("kind")))
+        seen = [F.coalesce("ids", F.array().cast("array<long>")).alias("ids"), F.coalesce("codes", F.lit(b"")).alias("codes")]
+        looked = going.join(way, "id", "left").select("query", "code", "id", *seen).mapInArrow(look, "query long, id long, ids array<long>, near array<double>")
+        empty = F.lit(None).cast("binary").alias("code")
+        rows = now.withColumn("kind", F.lit(0).cast("long")).unionByName(looked.select("query", empty, F.col("ids").alias("pool"), F.col("near").alias("dists"), F.transform("ids", lambda x: F.lit(False)).alias("left"), (F.col("id") + 1).alias("kind")))
         after = materialise(rows.repartition("query").sortWithinPartitions("query", F.col("kind") != 0).mapInArrow(take, STATE), "walk")
         discard(spark, now)
         now = after
@@ -339,6 +339,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
     table gives no rows. Scores are computed in double precision on the original vectors.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
+    kind = "<f4" if vectors.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
     clean = f"`{vector}` IS NOT NULL AND forall(`{vector}`, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(`{vector}`, x -> x <> 0)"
     valid = vectors.where(f"`{key}` IS NOT NULL").where(clean).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["id"])
     top = valid.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -351,14 +353,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
     distinct = valid.join(members.where("id = node").select("id"), "id", "left_semi")
     n = distinct.count()
     bits = max(0, int(np.ceil(np.log2(max(1, n) / (LEAF * 0.75)))))
-    codes, leaves = nodes_of(distinct, dimension, bits)
+    codes, leaves = nodes_of(distinct, dimension, bits, kind)
     codes = materialise(codes, "codes")
     entries = [tuple(r) for r in codes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).collect()]
-    graph = descend(codes, leaves)
+    graph = descend(codes, leaves, kind)
     way = materialise(routes(graph, codes), "routes")
     asked = members.join(queries.select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi")
-    start = asked.select(F.col("node").alias("id")).distinct().join(codes, "id").selectExpr("id AS query", "code", "scale")
-    found = walk(start, way, codes, entries).select("query", F.explode(F.slice("pool", 1, RECHECK)).alias("node"))
+    start = asked.select(F.col("node").alias("id")).distinct().join(codes, "id").selectExpr("id AS query", "code")
+    found = walk(start, way, entries, kind).select("query", F.explode(F.slice("pool", 1, HEAD)).alias("node"))
     # equal vectors: the k + 1 smallest ids of each node, first per salt and then together
     spread = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
     for by in (["node", "salt"], ["node"]):
