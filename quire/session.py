@@ -24,7 +24,8 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one is set only where none is named."""
+    """The shared folder named by spark.checkpoint.dir. Where none is named, a local master gets a folder of its own; on a
+    cluster that would be another folder on each machine, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -32,6 +33,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jdir.isEmpty():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     return jdir.get()
@@ -57,6 +60,23 @@ def discard(spark: SparkSession, df_or_path: DataFrame | str) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any Hadoop file system; none if it is absent."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(jpath)) if fs.exists(jpath) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in one piece to any Hadoop file system, in place of one of that name."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).create(jpath, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand rows to Python in Arrow batches of at most `rows`: texts may be long, and batches live outside the heap."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
