@@ -11,7 +11,7 @@ import numpy as np
 import regex
 
 from quire.llm.merging import PairTable
-from quire.llm.words import VALUES, VALUES_2, mix, powers
+from quire.llm.words import span_hashes
 
 # The published splitting pattern of this vocabulary family and its special token.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -135,7 +135,7 @@ class RankCounter(UnitCache):
 
 
 class UnitTable:
-    """A hash table of units in numpy arrays: open addressing over 64-bit hashes, each verified by a second checksum.
+    """A hash table of units in numpy arrays: open addressing over 64-bit hashes, each verified by a second one.
 
     Looking up a whole slice is a few gathers. Rows are numbered in the order in which units were added; when the table is
     full only the first `core` rows stay.
@@ -220,15 +220,10 @@ class IdEncoder:
         space = np.flatnonzero(data == 32)
         begin, end = np.concatenate([[0], space + 1]), np.append(space, len(data))
         first = np.searchsorted(begin, bound)  # pieces of text k: first[k] to first[k + 1] - 1, its head in front
-        up, down = powers(len(data) + 1)
-        total, plain = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(VALUES[data] * up[: len(data)], out=total[1:])
-        np.cumsum(VALUES_2[data], out=plain[1:])
-        key, check = mix((total[end] - total[begin]) * down[begin]), plain[end] - plain[begin] + (end - begin).astype(np.uint64)
+        key, check = span_hashes(data, begin, end), span_hashes(data, begin, end, 1)
         key[first[:-1]] ^= HEAD
         row = self.table.find(key, check)
-        new = np.flatnonzero(row < 0)
-        if len(new):
+        while len(new := np.flatnonzero(row < 0)):
             _, pick = np.unique(key[new], return_index=True)
             pick = new[pick]
             if self.table.rows + len(pick) > self.table.limit:
