@@ -1,9 +1,10 @@
 """Line dedup by a suffix array over line-id sequences (operator 9).
 
 Each document is its sequence of line ids. Distributed prefix doubling ranks the runs of 1, 2, 4, ... lines that start at
-every position by sorting pairs of ranks of half the length; a position whose run occurs once drops out, so each round sorts
-only what still repeats. The groups of equal ranks of a round are the suffix array's intervals with at least that common
-prefix: their members after the first are later copies, and the union of later copies is deleted.
+every position by the pair of ranks of their halves; a position whose run occurs once drops out, so each round handles only
+what still repeats. The groups of equal ranks of a round are the suffix array's intervals of at least that common prefix: how
+many places share it, and which is the first. Positions that follow each other in a document, and whose first places follow
+each other too, share one longer prefix: they are joined to maximal repeated runs, and what these runs cover is deleted.
 """
 
 from __future__ import annotations
@@ -12,128 +13,93 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.batches import sliced
 from quire.llm.prune import parted
-from quire.llm.words import VALUES, mix, powers
+from quire.llm.ranks import ranked_pairs
+from quire.llm.words import strong
 from quire.session import discard, materialise, small_batches
 
+WHITE = " \t\n\v\f\r"
 
-def line_ids(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text, the 64-bit ids of its lines that have a word, and the numbers of words of these lines."""
-    data = np.frombuffer("\n".join(texts).encode() + b"\n", np.uint8)
-    end = np.flatnonzero(data == 10)
-    begin = np.concatenate([[0], end[:-1] + 1])
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    starts = np.cumsum(~blank & np.concatenate([[True], blank[:-1]]))
-    words = np.concatenate([[0], starts])
-    words = words[end] - words[begin]
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(VALUES[data] * up[: len(data)], out=total[1:])
-    ids = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)).astype(np.int64)
-    lines = np.cumsum([t.count("\n") + 1 for t in texts])
+
+def line_ids(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text, the 128-bit ids (upper and lower half) of its lines that have a word, and their numbers of words."""
     out = []
-    for a, b in zip(np.concatenate([[0], lines[:-1]]).tolist(), lines.tolist(), strict=True):
-        some = words[a:b] > 0
-        out.append((ids[a:b][some], words[a:b][some]))
+    for text in texts:
+        lines = text.encode().split(b"\n")
+        words = [len(line.split()) for line in lines]
+        ids = np.array([strong(line) for line, n in zip(lines, words, strict=True) if n], np.uint64).reshape(-1, 2).view(np.int64)
+        out.append((ids[:, 0], ids[:, 1], np.array([n for n in words if n], np.int32)))
     return out
 
 
 def sequences(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc, th, ids, words) per distinct document row; th is a hash of the text."""
+    """(doc, th, a, b, words) per distinct document row: lists of ids and of numbers of words; th is a hash of the text."""
 
     def run(batches):
         for part, texts in sliced(batches, "t"):
-            ids, words = zip(*line_ids(texts), strict=True)
-            yield pa.RecordBatch.from_arrays([part.column("k"), part.column("th"), pa.array(ids, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], names=["doc", "th", "ids", "words"])
+            a, b, words = zip(*line_ids(texts), strict=True)
+            lists = [pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part.column("k"), part.column("th"), *lists], names=["doc", "th", "a", "b", "words"])
 
     rows = docs.where(f"`{key}` IS NOT NULL AND `{text}` IS NOT NULL").selectExpr(f"CAST(`{key}` AS long) AS k", f"xxhash64(`{text}`) AS th", f"`{text}` AS t")
-    return rows.mapInArrow(run, "doc long, th long, ids array<long>, words array<int>").dropDuplicates(["doc", "th"])
-
-
-def ranked(pairs: DataFrame) -> DataFrame:
-    """(doc, th, i, words, rank, later) of the rows (doc, th, i, words, a, b) whose pair (a, b) occurs more than once.
-
-    Ranks grow with the pair: range partitions are sorted, and a rank is the partition's number and the pair's place in it.
-    `later` is false for a pair's first position in document order. The scan keeps one row back.
-    """
-
-    def run(batches):
-        top = TaskContext.get().partitionId() << 40
-        held: pa.Table | None = None
-        open_, place = False, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            n_old = 0
-            if held is not None:
-                table, n_old = pa.concat_tables([held, table]), 1
-            a, b = np.asarray(table.column("a")), np.asarray(table.column("b"))
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            first = new.copy()
-            if n_old and open_:
-                first[0] = False  # the held row is a later member of its group
-            more = np.zeros(len(a), bool)
-            more[:-1] = ~new[1:]
-            ordinal = place + np.cumsum(new) - 1
-            last = len(a) - 1
-            keep = ~first | more
-            keep[last] = False
-            if keep.any():
-                at = np.flatnonzero(keep)
-                part = table.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in ("doc", "th", "i", "words")), pa.array(top + ordinal[at], pa.int64()), pa.array(~first[at])], names=["doc", "th", "i", "words", "rank", "later"])
-            held, open_, place = table.slice(last), not first[last], int(ordinal[last])
-        if held is not None and open_:
-            held = held.combine_chunks()
-            yield pa.RecordBatch.from_arrays([*(held.column(c).combine_chunks() for c in ("doc", "th", "i", "words")), pa.array([top + place], pa.int64()), pa.array([True])], names=["doc", "th", "i", "words", "rank", "later"])
-
-    rows = pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b", "doc", "th", "i")
-    return rows.mapInArrow(run, "doc long, th long, i int, words int, rank long, later boolean")
+    return rows.mapInArrow(run, "doc long, th long, a array<long>, b array<long>, words array<int>").dropDuplicates(["doc", "th"])
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> list[DataFrame]:
-    """One table per depth k: the positions (doc, th, i, words, rank, later) whose run of 2**k lines occurs more than once.
-    words counts the words of the run. Rounds end when no longer run repeats."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    lines = sequences(docs, text, key).select("doc", "th", F.posexplode(F.arrays_zip("ids", "words")).alias("i", "e"))
-    live = materialise(ranked(lines.select("doc", "th", "i", F.col("e.words").alias("words"), F.col("e.ids").alias("a"), F.lit(0).cast("long").alias("b"))), "runs")
-    levels = [live]
+    """One table per depth k: the positions whose run of 2**k lines occurs more than once, as (doc, th, i, own, words, rank,
+    many, first). own and words count the words of the position's line and of the run, many the places of the run, first
+    is the smallest of them. Rounds end when no run repeats any more."""
+    small_batches(docs.sparkSession)
+    lines = sequences(docs, text, key).select("doc", "th", F.posexplode(F.arrays_zip("a", "b", "words")).alias("i", "e"))
+    lines = materialise(lines.select("doc", "th", "i", F.col("e.words").alias("own"), F.col("e.words").alias("words"), F.col("e.a").alias("a"), F.col("e.b").alias("b")), "lines")
+    levels = [ranked_pairs(lines)]
+    discard(docs.sparkSession, lines)
     while not levels[-1].isEmpty():
         here, step = levels[-1], 1 << (len(levels) - 1)
         there = here.select("doc", "th", (F.col("i") - step).alias("i"), F.col("rank").alias("b"), F.col("words").alias("w"))
-        pairs = here.select("doc", "th", "i", "words", F.col("rank").alias("a")).join(there, ["doc", "th", "i"])
-        levels.append(materialise(ranked(pairs.select("doc", "th", "i", (F.col("words") + F.col("w")).alias("words"), "a", "b")), "runs"))
-    discard(spark, levels[-1])
-    return levels[:-1]
+        pairs = here.select("doc", "th", "i", "own", "words", F.col("rank").alias("a")).join(there, ["doc", "th", "i"])
+        pairs = materialise(pairs.select("doc", "th", "i", "own", (F.col("words") + F.col("w")).alias("words"), "a", "b"), "pairs")
+        levels.append(ranked_pairs(pairs))
+        discard(docs.sparkSession, pairs)
+    discard(docs.sparkSession, levels.pop())
+    return levels
 
 
-def later_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc, th, gone, depth): the line numbers (among lines with a word) that later copies of repeated runs cover.
+def maximal_runs(levels: list[DataFrame]) -> DataFrame:
+    """(doc, th, k, i, last, words, many): the later copies of repeated runs, as lines i to last of a document.
 
-    A run counts from min_lines lines on (a power of two), or as a single line from min_words words on. depth is the largest
-    k for which 2**k lines of the document also start earlier.
+    For each depth k, positions that are not their run's first place are chained while position and first place both move on
+    by one; a chain from i to j covers the lines i to j + 2**k - 1, which stand as a whole at the first place too. many is
+    the smallest number of places that a run of 2**k lines in the chain has.
+    """
+    rows = None
+    for k, level in enumerate(levels):
+        later = level.where("struct(doc, th, i) > first").select("doc", "th", F.lit(k).alias("k"), "i", "own", "words", "many", "first")
+        rows = later if rows is None else rows.unionAll(later)
+    where = "OVER (PARTITION BY doc, th, k ORDER BY i)"
+    held = f"i - lag(i) {where} = 1 AND first.doc = lag(first.doc) {where} AND first.th = lag(first.th) {where} AND first.i - lag(first.i) {where} = 1"
+    marked = rows.withColumn("chain", F.expr(f"CASE WHEN {held} THEN 0 ELSE 1 END")).withColumn("chain", F.expr(f"sum(chain) {where}"))
+    chains = marked.groupBy("doc", "th", "k", "chain").agg(F.min("i").alias("i"), F.max("i").alias("j"), F.sum("own").alias("own"), F.max(F.struct("i", "own", "words")).alias("end"), F.min("many").alias("many"))
+    return chains.select("doc", "th", "k", "i", F.expr("CAST(j + shiftleft(1, k) - 1 AS int)").alias("last"), F.expr("own - end.own + end.words").alias("words"), "many")
+
+
+def later_lines(docs: DataFrame, min_words: int = 10, min_places: int = 20, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc, th, gone, longest): the line numbers (among lines with a word) that later copies of repeated runs cover.
+
+    A maximal run counts from min_words words on, or if it stands in min_places places. longest is the number of lines of the
+    longest later copy, whether it counts or not.
     """
     spark = docs.sparkSession
     levels = repeated_runs(docs, text, key)
-    found = None
-    for k, level in enumerate(levels):
-        later = level.where("later")
-        whole = F.lit(1 << k >= min_lines) | F.lit(k == 0) & (F.col("words") >= min_words)
-        last = F.when(whole, F.col("i") + (min(1 << k, max(min_lines, 1)) - 1)).otherwise(F.col("i") - 1)
-        rows = later.select("doc", "th", "i", last.alias("last"), F.lit(k).alias("k"))
-        found = rows if found is None else found.unionAll(rows)
-    if found is None:
-        return spark.createDataFrame([], "doc long, th long, gone array<int>, depth int")
-    marks = F.when(F.col("last") >= F.col("i"), F.sequence("i", "last")).otherwise(F.array().cast("array<int>"))
-    out = found.groupBy("doc", "th").agg(F.array_distinct(F.flatten(F.collect_list(marks))).alias("gone"), F.max("k").alias("depth"))
+    if not levels:
+        return spark.createDataFrame([], "doc long, th long, gone array<int>, longest int")
+    counts = (F.col("words") >= min_words) | (F.col("many") >= min_places)
+    marks = F.when(counts, F.sequence("i", "last")).otherwise(F.array().cast("array<int>"))
+    out = maximal_runs(levels).groupBy("doc", "th").agg(F.array_distinct(F.flatten(F.collect_list(marks))).alias("gone"), F.max(F.col("last") - F.col("i") + 1).alias("longest"))
     out = materialise(out, "gone")
     for level in levels:
         discard(spark, level)
@@ -144,7 +110,7 @@ def kept_lines(text: str, gone: list[int] | None) -> tuple[list[str], int]:
     """The lines that stay (those without a word always do), and the number of lines with a word."""
     lost, out, n = set(gone or ()), [], 0
     for line in text.split("\n"):
-        if line.strip(" \t\n\v\f\r"):
+        if line.strip(WHITE):
             if n not in lost:
                 out.append(line)
             n += 1
@@ -154,10 +120,12 @@ def kept_lines(text: str, gone: list[int] | None) -> tuple[list[str], int]:
 
 
 def line_report(docs: DataFrame, text: str = "text", key: str = "doc_id", **rules: int) -> DataFrame:
-    """One row per input row: doc_id, n_lines (with a word), n_removed, kept_sha256 (kept lines joined by newlines), depth.
+    """One row per input row: doc_id, n_lines (with a word), n_removed, kept_sha256 (kept lines joined by newlines), and
+    longest_copy, the lines of the longest run that stands earlier too.
 
-    A line of a run is removed if the same run starts earlier (smaller id, or before it in the same text). Null and empty
-    texts have no lines; rows with a null id lose nothing and remove nothing; equal repeated rows count as one document.
+    A line of a run is removed if the same run starts earlier (smaller id, or before it in the same text) and the run counts
+    (later_lines). Null and empty texts have no lines; rows with a null id lose nothing and remove nothing; equal repeated
+    rows count as one document, different texts of one id as documents in the order of a hash of theirs.
     """
 
     def run(batches):
@@ -167,14 +135,14 @@ def line_report(docs: DataFrame, text: str = "text", key: str = "doc_id", **rule
                 kept, n = kept_lines(t, gone)
                 rows.append((n, len(gone or ()), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
             columns = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column("k"), *(pa.array(c) for c in columns), part.column("depth")], names=["doc_id", "n_lines", "n_removed", "kept_sha256", "depth"])
+            yield pa.RecordBatch.from_arrays([part.column("k"), *(pa.array(c) for c in columns), part.column("longest")], names=["doc_id", "n_lines", "n_removed", "kept_sha256", "longest_copy"])
 
     gone = later_lines(docs, text=text, key=key, **rules)
     rows = docs.selectExpr(f"CAST(`{key}` AS long) AS k", f"`{text}` AS t").withColumn("th", F.xxhash64("t"))
     likely, rest = parted(rows, F.col("k"), gone, "doc")
-    joined = likely.join(gone.withColumnRenamed("doc", "k"), ["k", "th"], "left").select("k", "t", "gone", "depth")
-    rest = rest.select("k", "t", F.lit(None).cast("array<int>").alias("gone"), F.lit(None).cast("int").alias("depth"))
-    return joined.unionAll(rest).mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string, depth int")
+    joined = likely.join(gone.withColumnRenamed("doc", "k"), ["k", "th"], "left").select("k", "t", "gone", F.coalesce("longest", F.lit(0)).alias("longest"))
+    rest = rest.select("k", "t", F.lit(None).cast("array<int>").alias("gone"), F.lit(0).alias("longest"))
+    return joined.unionAll(rest).mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string, longest_copy int")
 
 
 def drop_later_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **rules: int) -> DataFrame:
@@ -183,13 +151,13 @@ def drop_later_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", *
 
     def run(batches):
         at = names.index(text)
-        for batch in batches:
+        for part, texts in sliced(batches, text):
             out, keep = [], []
-            for t, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            for t, null, gone in zip(texts, part.column(at).is_null().to_pylist(), part.column(len(names)).to_pylist(), strict=True):
                 kept, n = kept_lines(t, gone) if gone else ([], 0)
-                out.append("\n".join(kept) if gone else t)
+                out.append("\n".join(kept) if gone else None if null else t)
                 keep.append(not gone or len(gone) < n)
-            columns = [pa.array(out, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))]
+            columns = [pa.array(out, part.column(at).type) if i == at else part.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     gone = later_lines(docs, text=text, key=key, **rules).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
