@@ -9,6 +9,7 @@ several documents are whole windows compared, by 96 bits of hash, with the small
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 
 import numpy as np
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.batches import sliced
 from quire.llm.prune import parted
-from quire.llm.words import VALUES_2, windows_of, words_of
-from quire.session import discard, materialise, small_batches
+from quire.llm.words import windows_of, words_of
+from quire.session import discard, listed, materialise, scratch_path, small_batches, write_text
 
 GRAM = 20
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
@@ -58,21 +59,33 @@ def fingerprints(docs: DataFrame, window: int, text: str, key: str) -> DataFrame
 
 
 class FingerprintIndex:
-    """Immutable runs (h, doc, pos), bucketed and sorted by h in the warehouse, in levels of growing size.
+    """Immutable runs (h, doc, pos), bucketed and sorted by h, in levels of growing size, in a folder that all workers see.
 
     Runs of one bucket count join without a shuffle: each bucket is one sorted file, so a probe is a merge of sorted runs.
-    When a level holds `fan` runs they are merged into one run of the next level and dropped.
+    When a level holds more than `fan` runs they are merged into one run of the next level and dropped. After every batch a
+    manifest with a higher number names the runs, so the folder can be opened again, by another session too, and a batch
+    that failed half way leaves nothing that counts.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int, fan: int = 2):
-        self.spark, self.buckets, self.fan = spark, buckets, fan
+    def __init__(self, spark: SparkSession, path: str, buckets: int, fan: int = 2):
+        self.spark, self.path, self.buckets, self.fan = spark, path, buckets, fan
         self.levels: list[list[str]] = []
+        self.state: dict = {}
+        self.version = 0
         self.tables: list[str] = []
+        if found := [f for f in listed(spark, path) if f.startswith("manifest-")]:
+            last = max(found)
+            saved = json.loads(spark.read.text(f"{path}/{last}", wholetext=True).first()[0])
+            self.levels, self.buckets, self.state = saved["levels"], saved["buckets"], saved["state"]
+            self.version = int(last[9:-5])
+            for name in [name for level in self.levels for name in level]:
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (h BIGINT, doc BIGINT, pos INT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{path}/{name}'")
+                self.tables.append(name)
 
     def write(self, rows: DataFrame) -> str:
         name = f"quire_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
         self.tables.append(name)
+        rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
     def add(self, entries: DataFrame) -> list[DataFrame]:
@@ -88,6 +101,14 @@ class FingerprintIndex:
         self.compact()
         return out
 
+    def save(self, **state) -> None:
+        """Make what was added since the last call count."""
+        self.state |= state
+        self.version += 1
+        write_text(self.spark, f"{self.path}/manifest-{self.version:09d}.json", json.dumps({"levels": self.levels, "buckets": self.buckets, "state": self.state}))
+        for name in [name for name in self.tables if not any(name in level for level in self.levels)]:
+            self.drop(name)
+
     def compact(self) -> None:
         for k, level in enumerate(self.levels):
             if len(level) > self.fan:
@@ -95,8 +116,6 @@ class FingerprintIndex:
                 for name in level[1:]:
                     merged = merged.unionAll(self.spark.table(name))
                 run = self.write(merged)
-                for name in level:
-                    self.drop(name)
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k] = []
@@ -111,34 +130,63 @@ class FingerprintIndex:
 
     def drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(self.spark, f"{self.path}/{name}")
         self.tables.remove(name)
 
     def close(self) -> None:
-        for name in list(self.tables):
-            self.drop(name)
+        """Forget the tables; the folder stays."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = []
+
+
+def flagged(index: FingerprintIndex, hits: list[DataFrame]) -> DataFrame:
+    """(doc, marks): the positions of fingerprints that several documents hold."""
+    shared = hits[0]
+    for hit in hits[1:]:
+        shared = shared.unionAll(hit)
+    return index.entries().join(shared.distinct(), "h", "left_semi").groupBy("doc").agg(F.collect_list("pos").alias("marks"))
 
 
-def later_copies(rows: DataFrame) -> DataFrame:
-    """(doc, pos) of the windows (h, g, doc, pos) whose hash pair a smaller document holds too: one scan of sorted rows that
-    keeps only the current pair and its first document."""
+def window_digests(suspects: DataFrame, window: int) -> DataFrame:
+    """(h, g, doc, pos): BLAKE2b of the words, joined by one space, of every window around a mark of (doc, t, marks)."""
+    gram = min(GRAM, max(1, window // 2))
 
-    def run(batches):
-        last: tuple | None = None
-        first = 0
-        for batch in batches:
-            h, g, doc, pos = (np.asarray(batch.column(c)) for c in ("h", "g", "doc", "pos"))
-            if not len(h):
-                continue
-            new = np.empty(len(h), bool)
-            new[0] = last is None or (h[0], g[0]) != last
-            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-            least = np.where(start >= 0, doc[np.maximum(start, 0)], first)
-            last, first = (h[-1], g[-1]), least[-1]
-            keep = doc > least
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep])], names=["doc", "pos"])
-
-    return rows.repartition("h").sortWithinPartitions("h", "g", "doc").mapInArrow(run, "doc long, pos int")
+    def emit(batches):
+        for part, texts in sliced(batches, "t"):
+            keys, own, at = [], [], []
+            for k, (t, marks) in enumerate(zip(texts, part.column("marks").to_pylist(), strict=True)):
+                words = t.encode().split()
+                n = len(words) - window + 1
+                if n <= 0:
+                    continue
+                step = np.zeros(n + 1, np.int32)
+                mark = np.asarray(marks, np.int64)
+                np.add.at(step, np.clip(mark - (window - gram), 0, n), 1)
+                np.add.at(step, np.clip(mark + 1, 0, n), -1)
+                pos = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+                raw = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                starts = np.concatenate([[0], ends[:-1] + 1])
+                keys += [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts[pos].tolist(), ends[pos + window - 1].tolist(), strict=True)]
+                own.append(np.full(len(pos), k))
+                at.append(pos)
+            if keys:
+                halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                doc = np.asarray(part.column("doc"))[np.concatenate(own)]
+                yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(doc), pa.array(np.concatenate(at).astype(np.int32))], names=["h", "g", "doc", "pos"])
+
+    return suspects.mapInArrow(emit, "h long, g long, doc long, pos int")
+
+
+def later_copies(windows: DataFrame) -> DataFrame:
+    """(doc, starts) of the windows (h, g, doc, pos) that a smaller document holds too.
+
+    The first document of a window is aggregated before the shuffle, so a window in a large share of all documents costs a
+    row per task; the rows meet it in an equi-join, of which Spark can split a frequent window over tasks.
+    """
+    first = windows.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("top")).where("first < top").drop("top")
+    return windows.join(first, ["h", "g"]).where("doc > first").groupBy("doc").agg(F.collect_set("pos").alias("starts"))
 
 
 def covered(n: int, starts: list[int], window: int) -> np.ndarray:
@@ -151,6 +199,37 @@ def covered(n: int, starts: list[int], window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def whole_copies(prints: DataFrame) -> DataFrame:
+    """doc, n_words, sha, copy (an equal word sequence stands in a smaller document), per row."""
+    first = prints.where("doc IS NOT NULL AND n_words > 0").groupBy("sha").agg(F.min("doc").alias("first"))
+    return prints.select("doc", "n_words", "sha").join(first, "sha", "left").selectExpr("doc", "n_words", "sha", "coalesce(doc > first, false) AS copy")
+
+
+def leading(prints: DataFrame, base: DataFrame, window: int) -> DataFrame:
+    """The fingerprints of the first document of each word sequence."""
+    return prints.join(base.where(f"NOT copy AND n_words >= {window} AND doc IS NOT NULL").select("doc", "sha").distinct(), ["doc", "sha"], "left_semi")
+
+
+def exploded(leaders: DataFrame) -> DataFrame:
+    return leaders.select("doc", F.explode(F.arrays_zip("h", "pos")).alias("e")).select("e.h", "doc", "e.pos")
+
+
+def cuts_of(texts: DataFrame, marks: DataFrame, window: int, above: int | None = None) -> DataFrame:
+    """(doc, t, starts) of the documents (doc, t) that lose windows, of those above an id if one is given."""
+    spark = texts.sparkSession
+    marks = materialise(marks, "flagged")
+    likely, _ = parted(texts, F.col("doc"), marks, "doc")
+    suspects = materialise(likely.join(marks, "doc"), "suspects", compression="zstd")
+    windows = materialise(window_digests(suspects, window), "windows")
+    removed = later_copies(windows)
+    if above is not None:
+        removed = removed.where(F.col("doc") > above)
+    cuts = materialise(suspects.select("doc", "t").join(removed, "doc"), "cuts", compression="zstd")
+    for table in (marks, suspects, windows):
+        discard(spark, table)
+    return cuts
+
+
 def analyse(docs: DataFrame, window: int = 50, batches: int = 3, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Returns two tables.
 
@@ -160,59 +239,77 @@ def analyse(docs: DataFrame, window: int = 50, batches: int = 3, text: str = "te
     spark = docs.sparkSession
     small_batches(spark)
     prints = materialise(fingerprints(docs, window, text, key), "prints")
-    first = prints.where("doc IS NOT NULL AND n_words > 0").groupBy("sha").agg(F.min("doc").alias("first"))
-    base = materialise(prints.select("doc", "n_words", "sha").join(first, "sha", "left").selectExpr("doc", "n_words", "sha", "coalesce(doc > first, false) AS copy"), "base")
-    leaders = prints.join(base.where(f"NOT copy AND n_words >= {window} AND doc IS NOT NULL").select("doc", "sha").distinct(), ["doc", "sha"], "left_semi")
+    base = materialise(whole_copies(prints), "base")
+    leaders = leading(prints, base, window)
     spread = prints.where("doc IS NOT NULL").agg(F.percentile_approx("doc", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     bounds = [None, *sorted(set(spread)), None]
-    index = FingerprintIndex(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = scratch_path(spark, "index")
+    index = FingerprintIndex(spark, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
     hits: list[DataFrame] = []
-    for lo, hi in zip(bounds, bounds[1:], strict=False):
-        part = leaders
-        if lo is not None:
-            part = part.where(F.col("doc") > lo)
-        if hi is not None:
-            part = part.where(F.col("doc") <= hi)
-        pairs = part.select("doc", F.explode(F.arrays_zip("h", "pos")).alias("e")).select("e.h", "doc", "e.pos")
-        hits += index.add(pairs)
-    shared = hits[0]
-    for hit in hits[1:]:
-        shared = shared.unionAll(hit)
-    flagged = index.entries().join(shared.distinct(), "h", "left_semi").groupBy("doc").agg(F.collect_list("pos").alias("marks"))
-    flagged = materialise(flagged, "flagged")
-    index.close()
-    likely, _ = parted(docs.selectExpr(f"CAST(`{key}` AS long) AS doc", f"`{text}` AS t"), F.col("doc"), flagged, "doc")
-    suspects = materialise(likely.join(flagged, "doc"), "suspects", compression="zstd")
-    gram = min(GRAM, max(1, window // 2))
-
-    def emit(batches_):
-        for part, texts in sliced(batches_, "t"):
-            one, two = words_of(texts), words_of(texts, values=VALUES_2)
-            h, g = windows_of(one.hash, window).astype(np.int64), (windows_of(two.hash, window) >> np.uint64(33)).astype(np.int32)
-            rows = []
-            for k, (a, b, marks) in enumerate(zip(one.first[:-1].tolist(), one.first[1:].tolist(), part.column("marks").to_pylist(), strict=True)):
-                n = b - a - window + 1
-                if n <= 0:
-                    continue
-                step = np.zeros(n + 1, np.int32)
-                at = np.asarray(marks, np.int64)
-                np.add.at(step, np.clip(at - (window - gram), 0, n), 1)
-                np.add.at(step, np.clip(at + 1, 0, n), -1)
-                own = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-                rows.append((np.full(len(own), k), own, a + own))
-            if rows:
-                k, own, at = (np.concatenate(x) for x in zip(*rows, strict=True))
-                doc = np.asarray(part.column("doc"))[k]
-                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(g[at]), pa.array(doc), pa.array(own.astype(np.int32))], names=["h", "g", "doc", "pos"])
-
-    windows = suspects.mapInArrow(emit, "h long, g int, doc long, pos int")
-    removed = later_copies(windows).groupBy("doc").agg(F.collect_set("pos").alias("starts"))
-    cuts = materialise(suspects.select("doc", "t").join(removed, "doc"), "cuts", compression="zstd")
-    for table in (prints, flagged, suspects, *hits):
-        discard(spark, table)
+    try:
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            part = leaders
+            if lo is not None:
+                part = part.where(F.col("doc") > lo)
+            if hi is not None:
+                part = part.where(F.col("doc") <= hi)
+            hits += index.add(exploded(part))
+            index.save()
+        cuts = cuts_of(docs.selectExpr(f"CAST(`{key}` AS long) AS doc", f"`{text}` AS t"), flagged(index, hits), window)
+    finally:
+        index.close()
+        for table in (path, prints, *hits):
+            discard(spark, table)
     return base, cuts
 
 
+class SubstringIndex:
+    """Incremental dedup: batches of documents with ascending ids, each held against everything that was added before.
+
+    The folder holds the runs of fingerprints and, for verification, the texts of their documents. It can be opened again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, window: int = 50, buckets: int | None = None):
+        self.spark, self.path = spark, path
+        self.runs = FingerprintIndex(spark, f"{path}/runs", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.window = self.runs.state.get("window", window)
+
+    def add(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+        """The rows of removals() for a batch, judged against the batch and all earlier ones. Its ids must be larger than
+        those of earlier batches (ValueError otherwise); a batch that fails leaves the index as it was."""
+        spark, state = self.spark, self.runs.state
+        small_batches(spark)
+        least, most = docs.agg(F.min(F.col(key).cast("long")), F.max(F.col(key).cast("long"))).first()
+        top = state.get("top")
+        if top is not None and least is not None and least <= top:
+            raise ValueError(f"ids of a batch must be above {top}")
+        prints = materialise(fingerprints(docs, self.window, text, key), "prints")
+        base = materialise(whole_copies(prints), "base")
+        own = f"{self.path}/texts-{uuid.uuid4().hex}"
+        before = [list(level) for level in self.runs.levels]
+        hits: list[DataFrame] = []
+        try:
+            leaders = leading(prints, base, self.window)
+            rows = docs.selectExpr(f"CAST(`{key}` AS long) AS doc", f"`{text}` AS t").where("doc IS NOT NULL AND t IS NOT NULL")
+            rows.join(leaders.select("doc").distinct(), "doc", "left_semi").write.option("compression", "zstd").parquet(own)
+            texts = [*state.get("texts", []), own]
+            hits = self.runs.add(exploded(leaders))
+            cuts = cuts_of(spark.read.schema("doc long, t string").parquet(*texts), flagged(self.runs, hits), self.window, top)
+            out = materialise(removal_rows(base, cuts, self.window), "removals")
+            self.runs.save(window=self.window, top=top if most is None else most, texts=texts)
+        except BaseException:
+            self.runs.levels = before
+            discard(spark, own)
+            raise
+        finally:
+            for table in (prints, base, *hits):
+                discard(spark, table)
+        return out
+
+    def close(self) -> None:
+        self.runs.close()
+
+
 def removals(docs: DataFrame, window: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space).
 
@@ -221,8 +318,10 @@ def removals(docs: DataFrame, window: int = 50, text: str = "text", key: str = "
     remove nothing. doc_id names a document: equal repeated rows get equal results, and where different texts share an id,
     a position that one of them loses is lost in all of them.
     """
-    base, cuts = analyse(docs, window, text=text, key=key)
+    return removal_rows(*analyse(docs, window, text=text, key=key), window)
+
 
+def removal_rows(base: DataFrame, cuts: DataFrame, window: int) -> DataFrame:
     def rest(batches):
         for part, texts in sliced(batches, "t"):
             out = []
