@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.batches import sliced
 from quire.llm.components import components
-from quire.llm.prune import parted
-from quire.llm.words import mix, shingle_sets
+from quire.llm.prune import WORDS, parted
+from quire.llm.words import mix, shingle_sets, strong
 from quire.session import discard, materialise, small_batches
 
 RATIO = 1.5
@@ -143,31 +143,31 @@ def overlap_needed(sizes: np.ndarray, query: int, num: int, den: int) -> np.ndar
 
 
 def signed(docs: DataFrame, words: int, num: int, den: int, text: str, key: str) -> DataFrame:
-    """doc, n (set size), twin (hash of the whole set), keys; of equal sets in a task only the first has keys (so a large group of copies has one row per task), the others
-    name it as `same`."""
+    """doc, n (set size), twin and twin_2 (BLAKE2b of the whole set), keys; of equal sets in a task only the first has keys
+    (so a large group of copies has one row per task), the others name it as `same`."""
 
     def run(batches):
         schemes = Signatures(num, den)
         seen: dict[tuple[int, int], int] = {}
         for part, texts in sliced(batches, "t"):
-            docs_, n, twin, same, keys = part.column("k").to_pylist(), [], [], [], []
+            docs_, n, twins, same, keys = part.column("k").to_pylist(), [], [], [], []
             for doc, own in zip(docs_, shingle_sets(texts, words), strict=True):
                 n.append(len(own))
-                whole = (int(np.add.reduce(mix(own))) ^ len(own)) & 0x7FFFFFFFFFFFFFFF if len(own) else None
-                twin.append(whole)
-                first = seen.setdefault((whole, len(own)), doc) if len(own) and doc is not None else doc
+                twins.append(strong(own.tobytes()))
+                first = seen.setdefault(twins[-1], doc) if len(own) and doc is not None else doc
                 same.append(first)
                 keys.append(schemes.keys(own).astype(np.int64) if first == doc and doc is not None else np.empty(0, np.int64))
                 if len(seen) > 500_000:
                     seen.clear()
             flat = np.concatenate(keys)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
+            halves = np.array(twins, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("k"), pa.array(n, pa.int64()), pa.array(twin, pa.int64()), pa.array(same, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))],
-                names=["doc", "n", "twin", "same", "keys"],
+                [part.column("k"), pa.array(n, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(same, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))],
+                names=["doc", "n", "twin", "twin_2", "same", "keys"],
             )
 
-    return docs.selectExpr(f"CAST(`{key}` AS long) AS k", f"`{text}` AS t").mapInArrow(run, "doc long, n long, twin long, same long, keys array<long>")
+    return docs.selectExpr(f"CAST(`{key}` AS long) AS k", f"`{text}` AS t").mapInArrow(run, "doc long, n long, twin long, twin_2 long, same long, keys array<long>")
 
 
 def block_members(signatures: DataFrame) -> DataFrame:
@@ -223,7 +223,8 @@ def whole(raw: bytes) -> np.ndarray:
 
 
 def element_sets(wanted: DataFrame, docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
-    """(doc, n, own, small) of the documents in wanted: the sorted hashes of their shingles and the sketch, from whole texts."""
+    """(doc, n, own, small) of at least the documents in wanted: the sorted hashes of their shingles and the sketch, from
+    whole texts. The bitmap lets few others through, which no join needs; texts are shuffled only where it is too full."""
 
     def run(batches):
         for part, texts in sliced(batches, "t"):
@@ -231,7 +232,9 @@ def element_sets(wanted: DataFrame, docs: DataFrame, words: int, text: str, key:
             yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(map(len, own), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([sketch(x).tobytes() for x in own], pa.binary())], names=["doc", "n", "own", "small"])
 
     likely, _ = parted(docs.selectExpr(f"CAST(`{key}` AS long) AS doc", f"`{text}` AS t"), F.col("doc"), wanted, "doc")
-    return likely.join(wanted, "doc").select("doc", "t").mapInArrow(run, "doc long, n long, own binary, small binary")
+    if wanted.count() > 16 * WORDS:
+        likely = likely.join(wanted, "doc")
+    return likely.where("doc IS NOT NULL").select("doc", "t").mapInArrow(run, "doc long, n long, own binary, small binary")
 
 
 def hub_links(pairs: DataFrame, sets: DataFrame, num: int, den: int, sketches: bool) -> DataFrame:
@@ -251,13 +254,16 @@ def hub_search(pairs: DataFrame, sets: DataFrame, num: int, den: int, decode) ->
     heads = parts.select(F.col("hub").alias("doc"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("is_doc"))
 
     def search(batches):
-        hub, query, held = None, None, []
+        hub, queries, held = None, [], []  # a hub whose id stands over different texts has a set of each
 
         def flush():
             index = InvertedLists([own for _, own in held])
-            found = index.search(query, overlap_needed(index.sizes, len(query), num, den))
-            out = [held[r][0] for r, shared in found if den * shared >= num * (len(held[r][1]) + len(query) - shared)]
+            out = set()
+            for query in queries:
+                found = index.search(query, overlap_needed(index.sizes, len(query), num, den))
+                out |= {held[r][0] for r, shared in found if den * shared >= num * (len(held[r][1]) + len(query) - shared)}
             held.clear()
+            out = sorted(out)
             return pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array([hub] * len(out), pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -268,7 +274,8 @@ def hub_search(pairs: DataFrame, sets: DataFrame, num: int, den: int, decode) ->
                 if is_doc:
                     held.append((doc, own))
                 else:
-                    hub, query = h, own
+                    queries = [*queries, own] if h == hub else [own]
+                    hub = h
         if held:
             yield flush()
 
@@ -337,8 +344,8 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     members = materialise(block_members(keyed.where("size(keys) > 0")), "members")
     signatures = materialise(keyed.drop("keys"), "sizes")
     discard(spark, keyed)
-    twins = signatures.where("n > 0 AND doc IS NOT NULL AND same = doc").groupBy("twin", "n").agg(F.min("doc").alias("first"))
-    equal = signatures.where("n > 0 AND doc IS NOT NULL").select("doc", "twin", "n").join(twins, ["twin", "n"]).where("doc <> first").selectExpr("doc AS a", "first AS b")
+    twins = signatures.where("n > 0 AND doc IS NOT NULL AND same = doc").groupBy("twin", "twin_2").agg(F.min("doc").alias("first"))
+    equal = signatures.where("n > 0 AND doc IS NOT NULL").select("doc", "twin", "twin_2").join(twins, ["twin", "twin_2"]).where("doc <> first").selectExpr("doc AS a", "first AS b")
     size = signatures.where("doc IS NOT NULL").groupBy("doc").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     pairs = members.where("doc <> hub").select("doc", "hub").distinct().join(size, "doc").join(size.toDF("hub", "hub_lo", "hub_hi"), "hub")
     pairs = pairs.where(f"hi * {den} >= hub_lo * {num} AND hub_hi * {den} >= lo * {num}").select("doc", "hub")
