@@ -20,13 +20,14 @@ CLASSES = 12
 
 
 class HarmonicPacker:
-    """Packs one worker's documents; the state is one open bin per class, up to WAITING closed ones and less than two sequences of stock.
+    """Packs one worker's documents; the state is one open bin per class, up to WAITING closed ones and less than three sequences of stock.
 
     A document is cut into full sequences and a tail. The tail's length gives its reciprocal-capacity class k; a bin of
     class k closes at its k-th tail (in the last class, when the next tail no longer fits). What a closed bin lacks is cut
-    from the stock, which takes a full sequence of a long document whenever it runs low. Closed bins wait for stock; when
-    too many wait, and at the end of the input, their pieces are cut into full sequences, and what is left over at powers
-    of two, so that no sequence needs padding.
+    from the stock: full sequences of long documents where they come, else the emptiest closed bins, one of which gives its
+    documents to the gaps of the others whenever too many wait. All other bins keep the tails that they closed with. At the
+    end of the input the bins that are left go the same way, open ones first, and the last stock is cut at powers of two,
+    so that no sequence needs padding. origin counts sequences: "full" (one cut of a long document), "bin", "cut".
     """
 
     WAITING = 32
@@ -38,6 +39,7 @@ class HarmonicPacker:
         self.held = 0
         self.waiting: list[list] = []
         self.sequence = first_sequence
+        self.origin = {"full": 0, "bin": 0, "cut": 0}
 
     def add(self, document: int, ids: bytes) -> Iterator[tuple]:
         """Yields (document, start, ids of the piece, tokens of the document, sequence, offset)."""
@@ -46,13 +48,10 @@ class HarmonicPacker:
         for start in range(0, full, c):
             piece = (document, start, ids[4 * start : 4 * (start + c)], n)
             if self.held < c:
-                self.stock.append(piece)
-                self.held += c
-                waiting, self.waiting = self.waiting, []
-                for own in waiting:
-                    yield from self.fill(own)
+                self.store([piece])
+                yield from self.settle()
             else:
-                yield from self.close([piece])
+                yield from self.close([piece], "full")
         if n > full:
             tail = (document, full, ids[4 * full :], n)
             k = min(c // (n - full), self.classes)
@@ -65,47 +64,58 @@ class HarmonicPacker:
                 own, self.bins[k] = self.bins[k], []
                 yield from self.fill(own)
 
-    def finish(self) -> Iterator[tuple]:
-        rest = [piece for own in self.waiting + self.bins[1:] for piece in own] + list(self.stock)
-        self.bins, self.stock, self.held, self.waiting = [[] for _ in range(self.classes + 1)], deque(), 0, []
-        yield from self.cut(rest)
+    def store(self, pieces: list) -> None:
+        self.stock.extend(pieces)
+        self.held += sum(map(size, pieces))
 
     def fill(self, own: list) -> Iterator[tuple]:
-        gap = self.capacity - sum(map(size, own))
-        if gap > self.held:
-            self.waiting.append(own)
-            if len(self.waiting) > self.WAITING:
-                waiting, self.waiting = self.waiting, []
-                yield from self.cut([piece for each in waiting for piece in each])
-            return
-        self.held -= gap
-        while gap:
+        """Top a closed bin up from the stock, or let it wait."""
+        self.waiting.append(own)
+        if self.capacity - sum(map(size, own)) <= self.held:
+            yield from self.settle()
+        while len(self.waiting) > self.WAITING:
+            self.store(self.waiting.pop(min(range(len(self.waiting)), key=lambda i: sum(map(size, self.waiting[i])))))
+            yield from self.settle()
+
+    def settle(self) -> Iterator[tuple]:
+        """Close waiting bins, those with the smallest gaps first, as far as the stock goes."""
+        self.waiting.sort(key=lambda own: -sum(map(size, own)))
+        done = 0
+        for own in self.waiting:
+            gap = self.capacity - sum(map(size, own))
+            if gap > self.held:
+                break
+            yield from self.close(own + self.take(gap), "bin")
+            done += 1
+        del self.waiting[:done]
+
+    def take(self, want: int) -> list:
+        out = []
+        self.held -= want
+        while want:
             piece = self.stock.popleft()
-            if size(piece) > gap:
-                piece, rest = split(piece, gap)
+            if size(piece) > want:
+                piece, rest = split(piece, want)
                 self.stock.appendleft(rest)
-            own.append(piece)
-            gap -= size(piece)
-        yield from self.close(own)
-
-    def cut(self, pieces: list) -> Iterator[tuple]:
-        """Full sequences as far as they go, then one sequence for each binary digit of what is left."""
-        left, todo = sum(map(size, pieces)), deque(pieces)
-        while left:
-            want = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
-            left -= want
-            own = []
-            while want:
-                piece = todo.popleft()
-                if size(piece) > want:
-                    piece, rest = split(piece, want)
-                    todo.appendleft(rest)
-                own.append(piece)
-                want -= size(piece)
-            yield from self.close(own)
-
-    def close(self, pieces: list) -> Iterator[tuple]:
+            out.append(piece)
+            want -= size(piece)
+        return out
+
+    def finish(self) -> Iterator[tuple]:
+        """Everything that is left: bins that never closed give their tails away first."""
+        for own in self.bins:
+            self.store(own)
+        self.bins = [[] for _ in range(self.classes + 1)]
+        yield from self.settle()
+        while self.waiting:
+            self.store(self.waiting.pop())
+            yield from self.settle()
+        while self.held:
+            yield from self.close(self.take(min(self.capacity, 1 << (self.held.bit_length() - 1))), "cut")
+
+    def close(self, pieces: list, origin: str) -> Iterator[tuple]:
         offset = 0
+        self.origin[origin] += 1
         for document, start, ids, n in pieces:
             yield document, start, ids, n, self.sequence, offset
             offset += len(ids) // 4
