@@ -1,4 +1,9 @@
-"""Quality rules: base statistics, and a linear-chain conditional random field over lines (operator 10)."""
+"""Quality rules: base statistics, and a linear-chain conditional random field over lines (operator 10).
+
+Only texts are labelled, lines are not: training starts from marks that lines bear by themselves (repeated, of symbols or
+capitals, very short without an end of a sentence) and takes turns with decoding, as long as the share of content in a text's
+lines agrees with its label. So the field sees both labels beside each other within texts.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +22,7 @@ WHITE = " \t\n\v\f\r"
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123))
 DIGITS = b"0123456789"
+ENDS = b".!?:;\""
 FEATURES = 12
 CONTENT, BOILERPLATE = 0, 1
 
@@ -24,8 +30,6 @@ CONTENT, BOILERPLATE = 0, 1
 def line_features(line: bytes, words: list[bytes], again: bool) -> tuple[float, ...]:
     """Features of one line, each from 0 to 1; `again` says that an earlier line of the text is equal."""
     n, size = len(words), len(line)
-    if not n:
-        return (1.0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1.0)
     symbols = size - len(line.translate(None, SYMBOLS))
     letters = size - len(line.translate(None, LETTERS))
     upper = size - len(line.translate(None, UPPER))
@@ -43,7 +47,7 @@ def line_features(line: bytes, words: list[bytes], again: bool) -> tuple[float,
         min(1.0, 3 * digits / size),
         1.0 if again else 0.0,
         min(1.0, n / 50),
-        1.0 if n < 4 else 0.0,
+        1.0 if n < 4 and line.rstrip()[-1] not in ENDS else 0.0,
     )
 
 
@@ -71,22 +75,49 @@ class LineField:
         return labels[::-1]
 
 
-def fit_field(sequences: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.3, decay: float = 1e-3) -> LineField:
+def marked(x: np.ndarray) -> np.ndarray:
+    """Which lines (n, FEATURES) bear a mark of boilerplate by themselves."""
+    return (x[:, 1] > 0.3) | (x[:, 5] > 0) | (x[:, 6] > 0.6) | (x[:, 9] > 0) | (x[:, 11] > 0)
+
+
+def fit_lines(sequences: list[np.ndarray], kept: list[bool], sizes: list[np.ndarray], content_share: float = 0.5, turns: int = 4) -> LineField:
+    """A field from texts that bear one label each: lines of sizes[i] words, features sequences[i], kept[i] or not.
+
+    First labels: boilerplate for marked lines and content for the others, as far as the text's share of content then agrees
+    with its label, else the text's label for all its lines. After each fit the texts are decoded; those that agree with
+    their label take the decoded labels, the others go back to their first ones.
+    """
+
+    def agreed(own: np.ndarray, k: bool, n: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return own if (n[own == CONTENT].sum() >= content_share * n.sum()) == k else other
+
+    alike = [np.full(len(x), CONTENT if k else BOILERPLATE) for x, k in zip(sequences, kept, strict=True)]
+    first = [agreed(np.where(marked(x), BOILERPLATE, CONTENT), k, n, own) for x, k, n, own in zip(sequences, kept, sizes, alike, strict=True)]
+    labels, field = first, None
+    for _ in range(turns):
+        field = fit_field(sequences, labels, [CONTENT if k else BOILERPLATE for k in kept], field, 50 if field else 150)
+        labels = [agreed(np.array(field.decode(x @ field.emission)), k, n, own) for x, k, n, own in zip(sequences, kept, sizes, first, strict=True)]
+    return field
+
+
+def fit_field(sequences: list[np.ndarray], labels: list, groups: list[int] | None = None, start: LineField | None = None, rounds: int = 150, rate: float = 0.3, decay: float = 1e-3) -> LineField:
     """Maximum likelihood by gradient ascent (Adam) with forward-backward over padded sequences.
 
-    Every line of a training text bears the text's label; each class weighs the same in total.
+    labels holds an array per sequence, or one label for all its lines; groups (0 or 1, by default the first labels) weigh
+    the same in total.
     """
     n, longest = len(sequences), max(map(len, sequences))
     x = np.zeros((n, longest, FEATURES))
     mask = np.zeros((n, longest))
-    for i, s in enumerate(sequences):
+    gold = np.zeros((n, longest, 2))
+    for i, (s, own) in enumerate(zip(sequences, labels, strict=True)):
         x[i, : len(s)], mask[i, : len(s)] = s, 1
-    y = np.asarray(labels)
-    weight = mask.sum() / np.maximum(1, np.array([mask[y == k].sum() for k in (0, 1)]))[y] / mask.sum() / 2
-    gold_e = np.stack([((x * mask[:, :, None]).sum(1) * (weight * (y == k))[:, None]).sum(0) for k in (0, 1)], 1)
-    pairs = np.maximum(mask.sum(1) - 1, 0)
-    gold_t = np.diag([(pairs * weight * (y == k)).sum() for k in (0, 1)])
-    p = [np.zeros((FEATURES, 2)), np.zeros((2, 2))]
+        gold[i, np.arange(len(s)), own] = 1
+    y = np.asarray(groups if groups is not None else [np.ravel(own)[0] for own in labels])
+    weight = 1 / np.maximum(1, np.array([mask[y == k].sum() for k in (0, 1)]))[y] / 2
+    gold_e = np.einsum("nlf,nlk,n->fk", x, gold, weight)
+    gold_t = np.einsum("nla,nlb,n->ab", gold[:, :-1], gold[:, 1:], weight)
+    p = [start.emission, start.transition] if start else [np.zeros((FEATURES, 2)), np.zeros((2, 2))]
     first, second = ([np.zeros_like(v) for v in p] for _ in range(2))
     for step in range(1, rounds + 1):
         e = x @ p[0]
@@ -147,9 +178,10 @@ def judge(field: LineField | None, texts: list[str], content_share: float) -> li
         if field and not failed:
             seen: set[bytes] = set()
             for k, words in zip(keys, lines, strict=True):
-                features.append(line_features(k, words, k in seen))
-                seen.add(k)
-            held.append((len(out), [len(words) for words in lines]))
+                if words:
+                    features.append(line_features(k, words, k in seen))
+                    seen.add(k)
+            held.append((len(out), [len(words) for words in lines if words]))
         out.append([*figures, failed, 0.0 if failed else 1.0, not failed])
     if held:
         scores = np.asarray(features) @ field.emission
@@ -164,27 +196,29 @@ def judge(field: LineField | None, texts: list[str], content_share: float) -> li
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 800, max_lines: int = 60, text: str = "text", key: str = "doc_id", label: str = "quality") -> LineField | None:
     """A field from at most per_class labelled texts of either class (chosen by a hash of the key) and their first max_lines
-    lines: a bounded sample, the only data that reach the driver. None if a class has no text."""
+    lines with a word: a bounded sample, the only data that reach the driver. None if a class has no text."""
     each = labels.selectExpr(f"`{key}` AS k", f"`{label}` AS y").where("k IS NOT NULL AND y IN (0, 1)").groupBy("k").agg(F.min("y").alias("y"))
     picked = [each.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class) for y in (0, 1)]
     chosen = picked[0].unionAll(picked[1])
 
     def lines(batches):
-        for batch in batches:
-            for y, t in zip(batch.column("y").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                raw = t.encode().split(b"\n")[:max_lines]
+        for part, texts in sliced(batches, "t"):
+            for y, t in zip(part.column("y").to_pylist(), texts, strict=True):
                 seen: set[bytes] = set()
-                rows = []
-                for k in raw:
-                    rows.append(line_features(k, k.split(), k in seen))
-                    seen.add(k)
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([np.asarray(rows, "<f8").tobytes()], pa.binary())], names=["y", "x"])
-
-    rows = docs.selectExpr(f"`{key}` AS k", f"`{text}` AS t").where("t IS NOT NULL AND t <> ''").join(F.broadcast(chosen), "k").select(F.col("y").cast("int"), "t").mapInArrow(lines, "y int, x binary").toArrow()
-    pairs = sorted(zip(rows["y"].to_pylist(), rows["x"].to_pylist(), strict=True))
-    if len({y for y, _ in pairs}) < 2:
+                rows, sizes = [], []
+                for k in t.encode().split(b"\n"):
+                    if (words := k.split()) and len(rows) < max_lines:
+                        rows.append(line_features(k, words, k in seen))
+                        sizes.append(len(words))
+                        seen.add(k)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([np.asarray(rows, "<f8").tobytes()], pa.binary()), pa.array([sizes], pa.list_(pa.int32()))], names=["y", "x", "n"])
+
+    rows = docs.selectExpr(f"`{key}` AS k", f"`{text}` AS t").where("t IS NOT NULL AND t <> ''").join(F.broadcast(chosen), "k").select(F.col("y").cast("int"), "t").mapInArrow(lines, "y int, x binary, n array<int>").toArrow()
+    found = sorted(zip(rows["y"].to_pylist(), rows["x"].to_pylist(), rows["n"].to_pylist(), strict=True))
+    if len({y for y, *_ in found}) < 2:
         return None
-    return fit_field([np.frombuffer(x, "<f8").reshape(-1, FEATURES) for _, x in pairs], [CONTENT if y else BOILERPLATE for y, _ in pairs])
+    return fit_lines([np.frombuffer(x, "<f8").reshape(-1, FEATURES) for _, x, _ in found], [y == 1 for y, *_ in found], [np.array(n) for *_, n in found])
 
 
 def assess(docs: DataFrame, field: LineField | None, content_share: float = 0.5, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -207,14 +241,10 @@ def assess(docs: DataFrame, field: LineField | None, content_share: float = 0.5,
 
 def keep_good(docs: DataFrame, field: LineField | None, content_share: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose text the rules keep."""
-    at = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                verdicts = judge(field, [t or "" for t in part.column(at).to_pylist()], content_share)
-                yield part.filter(pa.array([v[-1] for v in verdicts], pa.bool_()))
+        for part, texts in sliced(batches, text):
+            yield part.filter(pa.array([v[-1] for v in judge(field, texts, content_share)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
