@@ -13,6 +13,7 @@ from quire.llm.batches import sliced
 
 WIDTHS = (2, 3, 4)
 WINDOW = 128
+LANGUAGES = 5000
 
 
 @dataclass
@@ -133,10 +134,22 @@ def predict(net: ByteNet, texts: list[str]) -> tuple[list[str], list[float]]:
 
 
 def training_rows(docs: DataFrame, per_language: int, per_document: int, text: str, label: str, key: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows and labels from at most per_language documents of each language, chosen by a hash of the key, and at most
-    per_document windows spread over each. Only these reach the driver."""
-    order = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
-    chosen = docs.selectExpr(f"`{key}` AS k", f"`{label}` AS y").where("k IS NOT NULL AND y IS NOT NULL").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("k", "y")
+    """Windows and labels from at most per_language documents of each language, those whose keys have the least hashes, and
+    at most per_document windows spread over each. Only these and a count per language reach the driver.
+
+    A frequent language is thinned by its hashes to about eight times what is wanted before its rows meet in one task, so
+    no task gets more of them as the table grows. More than LANGUAGES labels are refused: a network has an output for each.
+    """
+    labelled = docs.selectExpr(f"`{key}` AS k", f"`{label}` AS y").where("k IS NOT NULL AND y IS NOT NULL")
+    counts = labelled.groupBy("y").count().limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels")
+    if not counts:
+        return np.empty((0, WINDOW), np.uint8), np.empty(0, int), []
+    share = F.create_map(*[F.lit(x) for y, n in counts for x in (y, 8.0 * per_language / n)])[F.col("y")]
+    spread = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < share * (1 << 30)
+    place = Window.partitionBy("y").orderBy(F.pmod(F.xxhash64("k"), F.lit(1 << 30)), "k")
+    chosen = labelled.where(spread).distinct().withColumn("r", F.row_number().over(place)).where(F.col("r") <= per_language).select("k", "y")
 
     def cut(batches):
         for batch in batches:
@@ -152,7 +165,7 @@ def training_rows(docs: DataFrame, per_language: int, per_document: int, text: s
     if not rows.num_rows:
         return np.empty((0, WINDOW), np.uint8), np.empty(0, int), []
     labels, found = np.unique(np.array(rows["y"].to_pylist(), object).astype(str), return_inverse=True)
-    order = np.lexsort((np.array([hash(v) for v in found]), np.array(rows["x"].to_pylist(), object)))  # the same rows in the same order, however tasks end
+    order = np.lexsort((found, np.array(rows["x"].to_pylist(), object)))  # the same rows in the same order, however tasks end
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.uint8).reshape(-1, WINDOW)
     return x[order], found[order], labels.tolist()
 
