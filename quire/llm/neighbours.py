@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: NN-descent by Spark joins, and greedy graph search (operator 5).
 
 Distinct vectors are nodes, kept as the bytes of their components in the precision of the input, so near copies stay apart;
-all distances are taken in double precision. Random-hyperplane leaves give a first neighbour list; each descent round meets
-the neighbours and reverse neighbours of every node and offers each of them the closer ones. Queries walk the finished graph
-with a pool of best nodes; the pool's head is scored on the original vectors.
+all distances are taken in double precision. Trees of median splits along random directions, fitted on a bounded sample about
+its mean, deal all vectors into leaves of bounded size for a first neighbour list; each descent round meets the neighbours and
+reverse neighbours of every node and offers each of them the closer ones. Queries walk the finished graph with a pool of best
+nodes; the pool's head is scored on the original vectors.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from quire.session import discard, materialise, small_batches
 K = 24  # neighbours of a node
 REVERSE = 24  # reverse neighbours that a node meets in a round, and that it leads to in a search beside its own
 TREES = 6
-LEAF = 256
+LEAF = 256  # nodes of a leaf at most
+SAMPLE = 1 << 20  # numbers of the sample that the trees are fitted on, at most: 16,384 vectors of 64 components
 ROUNDS = 7
 POOL = 320  # best nodes that a query keeps while it walks
 BEAM = 64  # nodes that a query leaves at once
@@ -85,7 +87,42 @@ def squared(v: np.ndarray) -> np.ndarray:
     return np.maximum(own[:, None] + own - 2 * (v @ v.T), 0)
 
 
-def nodes_of(vectors: DataFrame, dimension: int, bits: int, kind: str, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+class Forest:
+    """TREES trees that deal vectors into leaves: splits at the median of a sample, each along a random direction, as deep
+    as the sample reaches; below that one bit for each of `extra` directions, by the side of the leaf's mean."""
+
+    def __init__(self, sample: np.ndarray, n: int, seed: int = 5):
+        rng = np.random.default_rng(seed)
+        bits = max(0, int(np.ceil(np.log2(max(1, n) / (LEAF * 0.75)))))
+        self.depth = min(bits, max(0, int(np.log2(max(1, len(sample)) / 32))))
+        self.extra = bits - self.depth
+        dimension = sample.shape[1]
+        self.planes = rng.normal(size=(TREES, (1 << self.depth) - 1, dimension))
+        self.more = rng.normal(size=(TREES, dimension, self.extra + 1))
+        self.cuts = np.zeros((TREES, (1 << self.depth) - 1))
+        self.means = np.zeros((TREES, 1 << self.depth, dimension))
+        for tree in range(TREES):
+            node = np.zeros(len(sample), np.int64)
+            for level in range(self.depth):
+                base = (1 << level) - 1
+                side = np.einsum("nd,nd->n", sample, self.planes[tree, base + node])
+                for k in np.unique(node):
+                    self.cuts[tree, base + k] = np.median(side[node == k])
+                node = 2 * node + (side > self.cuts[tree, base + node])
+            for k in np.unique(node):
+                self.means[tree, k] = sample[node == k].mean(0)
+
+    def leaves(self, v: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each vector, and its place along one more direction."""
+        node = np.zeros(len(v), np.int64)
+        for level in range(self.depth):
+            at = (1 << level) - 1 + node
+            node = 2 * node + (np.einsum("nd,nd->n", v, self.planes[tree, at]) > self.cuts[tree, at])
+        side = (v - self.means[tree, node]) @ self.more[tree]
+        return node << self.extra | ((side[:, : self.extra] > 0) << np.arange(self.extra)).sum(1), side[:, self.extra]
+
+
+def nodes_of(vectors: DataFrame, dimension: int, n: int, kind: str) -> tuple[DataFrame, DataFrame]:
     """(id, code) and the leaf table (tree, leaf, place, id, code) of vectors (id, v); codes are of the numpy type kind."""
 
     def encode(v: np.ndarray) -> pa.Array:
@@ -99,18 +136,21 @@ def nodes_of(vectors: DataFrame, dimension: int, bits: int, kind: str, seed: int
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), encode(stack(batch))], names=["id", "code"])
 
+    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(max(1, SAMPLE // dimension)).mapInArrow(codes, "id long, code binary").toArrow()
+    sample = decode(chosen.column("code").to_pylist(), kind) if chosen.num_rows else np.zeros((0, dimension))
+    mean = sample.mean(0) if len(sample) else np.zeros(dimension)
+    forest = Forest(sample - mean, n)
+
     def leaves(batches):
-        rng = np.random.default_rng(seed)
-        planes = rng.normal(size=(TREES, dimension, bits + 1))
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = stack(batch)
             raw = encode(v)
+            v -= mean
             for tree in range(TREES):
-                side = v @ planes[tree]
-                leaf = ((side[:, :bits] > 0) << np.arange(bits)).sum(1) if bits else np.zeros(len(v), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), tree, np.int32)), pa.array(leaf.astype(np.int64)), pa.array(side[:, bits]), batch.column("id"), raw], names=["tree", "leaf", "place", "id", "code"])
+                leaf, place = forest.leaves(v, tree)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), tree, np.int32)), pa.array(leaf), pa.array(place), batch.column("id"), raw], names=["tree", "leaf", "place", "id", "code"])
 
     return vectors.mapInArrow(codes, "id long, code binary"), vectors.mapInArrow(leaves, "tree int, leaf long, place double, id long, code binary")
 
@@ -118,90 +158,101 @@ def nodes_of(vectors: DataFrame, dimension: int, bits: int, kind: str, seed: int
 OFFER = "id long, ids array<long>, dists array<float>, fresh array<boolean>"
 
 
+def leaf_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Ids and codes of sorted rows (tree, leaf, id, code), LEAF of one leaf at a time; a last part takes what is left."""
+    ids: list = []
+    codes: list = []
+    now = None
+    for batch in batches:
+        for tree, leaf, i, code in zip(*(batch.column(c).to_pylist() for c in ("tree", "leaf", "id", "code")), strict=True):
+            if ids and ((tree, leaf) != now or len(ids) >= LEAF):
+                yield np.array(ids), codes
+                ids, codes = [], []
+            now = tree, leaf
+            ids.append(i)
+            codes.append(code)
+    if ids:
+        yield np.array(ids), codes
+
+
 def leaf_offers(leaves: DataFrame, kind: str) -> DataFrame:
-    """The K nearest of each node within its leaf; leaves larger than LEAF are cut along one more projection."""
+    """The K nearest of each node within its leaf. Ranges of (tree, leaf, place) go to tasks, so a leaf that holds a large
+    share of all nodes is dealt over many; LEAF neighbours along the place meet at most."""
 
     def run(batches):
-        for table in complete_groups(batches, ["tree", "leaf"]):
-            tree, leaf = array(table, "tree"), array(table, "leaf")
-            edge = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (leaf[1:] != leaf[:-1]), [True]]))
-            raw, ids = table.column("code"), array(table, "id")
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                parts = max(1, -(-(b - a) // LEAF))
-                for own in np.array_split(np.arange(a, b), parts):
-                    if len(own) < 2:
-                        continue
-                    d = squared(decode(raw.take(pa.array(own)).to_pylist(), kind))
-                    np.fill_diagonal(d, np.inf)
-                    k = min(K, len(own) - 1)
-                    best = np.argpartition(d, k - 1, 1)[:, :k]
-                    size = np.full(len(own), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[own]), lists(ids[own][best].ravel(), size, pa.int64()), lists(np.take_along_axis(d, best, 1).ravel(), size, pa.float32()), lists(np.ones(k * len(own), bool), size, pa.bool_())], names=["id", "ids", "dists", "fresh"])
-
-    rows = leaves.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "place", "id")
+        for ids, codes in leaf_parts(batches):
+            if len(ids) < 2:
+                continue
+            d = squared(decode(codes, kind))
+            np.fill_diagonal(d, np.inf)
+            k = min(K, len(ids) - 1)
+            best = np.argpartition(d, k - 1, 1)[:, :k]
+            size = np.full(len(ids), k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), lists(ids[best].ravel(), size, pa.int64()), lists(np.take_along_axis(d, best, 1).ravel(), size, pa.float32()), lists(np.ones(k * len(ids), bool), size, pa.bool_())], names=["id", "ids", "dists", "fresh"])
+
+    rows = leaves.repartitionByRange("tree", "leaf", "place", "id").sortWithinPartitions("tree", "leaf", "place", "id")
     return rows.mapInArrow(run, OFFER)
 
 
+def best_offers(table: pa.Table) -> pa.RecordBatch:
+    """One row per id in ascending order: its K nearest of all offers; an entry that was there before is not fresh."""
+    near, sizes = flat(table, "ids")
+    dist, fresh = flat(table, "dists")[0], flat(table, "fresh")[0]
+    owner = np.repeat(array(table, "id"), sizes)
+    order = np.lexsort((fresh, near, owner))
+    owner, near, dist, fresh = owner[order], near[order], dist[order], fresh[order]
+    first = np.ones(len(owner), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (near[1:] != near[:-1])
+    owner, near, dist, fresh = owner[first], near[first], dist[first], fresh[first]
+    order = np.lexsort((near, dist, owner))
+    owner, near, dist, fresh = owner[order], near[order], dist[order], fresh[order]
+    start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, int)
+    count = np.diff(np.append(start, len(owner)))
+    keep = np.arange(len(owner)) - np.repeat(start, count) < K
+    size = np.minimum(count, K)
+    return pa.RecordBatch.from_arrays([pa.array(owner[start]), lists(near[keep], size, pa.int64()), lists(dist[keep], size, pa.float32()), lists(fresh[keep], size, pa.bool_())], names=["id", "ids", "dists", "fresh"])
+
+
 def merged(offers: DataFrame) -> DataFrame:
-    """One list per node: its K nearest of all offers; an entry that was there before stays what it was (not fresh)."""
+    """One list per node: its K nearest of all offers. Each batch is condensed at once; of a node with very many offers
+    only the best so far are held."""
 
     def run(batches):
-        for table in complete_groups(batches, ["id"]):
-            near, sizes = flat(table, "ids")
-            dist, fresh = flat(table, "dists")[0], flat(table, "fresh")[0]
-            owner = np.repeat(array(table, "id"), sizes)
-            order = np.lexsort((fresh, near, owner))
-            owner, near, dist, fresh = owner[order], near[order], dist[order], fresh[order]
-            first = np.ones(len(owner), bool)
-            first[1:] = (owner[1:] != owner[:-1]) | (near[1:] != near[:-1])
-            owner, near, dist, fresh = owner[first], near[first], dist[first], fresh[first]
-            order = np.lexsort((near, dist, owner))
-            owner, near, dist, fresh = owner[order], near[order], dist[order], fresh[order]
-            start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, int)
-            count = np.diff(np.append(start, len(owner)))
-            keep = np.arange(len(owner)) - np.repeat(start, count) < K
-            size = np.minimum(count, K)
-            yield pa.RecordBatch.from_arrays([pa.array(owner[start]), lists(near[keep], size, pa.int64()), lists(dist[keep], size, pa.float32()), lists(fresh[keep], size, pa.bool_())], names=["id", "ids", "dists", "fresh"])
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = best_offers(pa.Table.from_batches([batch] if held is None else [held, batch]))
+            if now.num_rows:
+                yield now.slice(0, now.num_rows - 1)
+                held = now.slice(now.num_rows - 1)
+        if held is not None:
+            yield held
 
     return offers.repartition("id").sortWithinPartitions("id").mapInArrow(run, OFFER)
 
 
-def meetings(graph: DataFrame, codes: DataFrame, kind: str) -> DataFrame:
-    """What a round offers: at each centre, its neighbours and up to REVERSE reverse neighbours (chosen by hash) meet; a pair
-    with a fresh member is offered to whichever of both it is closer to than its present worst neighbour."""
-
-    def edges(batches):
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            near, sizes = flat(table, "ids")
-            fresh = flat(table, "fresh")[0]
-            own = np.repeat(array(table, "id"), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, near])), pa.array(np.concatenate([near, own])), pa.array(np.concatenate([fresh, fresh])), pa.array(np.repeat([False, True], len(own)))], names=["centre", "id", "new", "back"])
+def meetings(graph: DataFrame, codes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """What a round offers, and a table to discard afterwards: at each centre, its neighbours and up to REVERSE reverse neighbours (chosen by hash) meet; a pair
+    with a fresh member is offered to whichever of both it is closer to than its present worst neighbour. Reverse edges are
+    chosen, and centres without a fresh one left out, before any vector travels."""
 
     def meet(batches):
         for table in complete_groups(batches, ["centre"]):
-            centre, ids = array(table, "centre"), array(table, "id")
-            new, back, worst, pick = array(table, "new"), array(table, "back"), array(table, "worst"), array(table, "pick")
+            centre, ids, new, worst = (array(table, c) for c in ("centre", "id", "new", "worst"))
             v = decode(table.column("code").to_pylist(), kind)
             edge = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1], [True]]))
             out = []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                own = np.arange(a, b)
-                reverse = own[back[own]]
-                if len(reverse) > REVERSE:
-                    reverse = reverse[np.argsort(pick[reverse], kind="stable")[:REVERSE]]
-                own = np.concatenate([own[~back[own]], reverse])
-                own = own[np.argsort(ids[own] * 2 + ~new[own], kind="stable")]
-                own = own[np.concatenate([[True], ids[own][1:] != ids[own][:-1]])]
-                if len(own) < 2 or not new[own].any():
+                if b - a < 2:
                     continue
+                own = slice(a, b)
                 d = squared(v[own])
                 good = (d < worst[own][:, None]) & (new[own][:, None] | new[own])
                 np.fill_diagonal(good, False)
                 to, of = np.nonzero(good)
-                if not len(to):
-                    continue
-                out.append((ids[own][to], ids[own][of], d[to, of]))
+                if len(to):
+                    out.append((ids[own][to], ids[own][of], d[to, of]))
             if out:
                 to, of, d = (np.concatenate(x) for x in zip(*out, strict=True))
                 order = np.lexsort((d, of, to))
@@ -212,11 +263,16 @@ def meetings(graph: DataFrame, codes: DataFrame, kind: str) -> DataFrame:
                 size = np.diff(np.append(start, len(to)))
                 yield pa.RecordBatch.from_arrays([pa.array(to[start]), lists(of, size, pa.int64()), lists(d, size, pa.float32()), lists(np.ones(len(of), bool), size, pa.bool_())], names=["id", "ids", "dists", "fresh"])
 
+    edges = graph.select("id", F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select(F.col("id").alias("centre"), F.col("e.ids").alias("id"), F.col("e.fresh").alias("new"))
+    back = edges.select(F.col("id").alias("centre"), F.col("centre").alias("id"), "new")
+    back = back.withColumn("r", F.expr("row_number() OVER (PARTITION BY centre ORDER BY xxhash64(centre, id))")).where(f"r <= {REVERSE}").drop("r")
+    pairs = edges.unionAll(back).groupBy("centre", "id").agg(F.max("new").alias("new"))
+    pairs = materialise(pairs, "pairs")
+    active = pairs.where("new").select("centre").distinct()
     worst = graph.select("id", F.when(F.size("ids") < K, F.lit(float("inf"))).otherwise(F.element_at("dists", -1)).cast("double").alias("worst"))
     about = codes.join(worst, "id")
-    rows = graph.mapInArrow(edges, "centre long, id long, new boolean, back boolean").distinct().join(about, "id")
-    rows = rows.withColumn("pick", F.xxhash64("centre", "id")).repartition("centre").sortWithinPartitions("centre", "id")
-    return rows.mapInArrow(meet, OFFER)
+    rows = pairs.join(active, "centre", "left_semi").join(about, "id").repartition("centre").sortWithinPartitions("centre", "id")
+    return rows.mapInArrow(meet, OFFER), pairs
 
 
 def descend(codes: DataFrame, leaves: DataFrame, kind: str) -> DataFrame:
@@ -224,8 +280,10 @@ def descend(codes: DataFrame, leaves: DataFrame, kind: str) -> DataFrame:
     spark = codes.sparkSession
     graph = materialise(merged(leaf_offers(leaves, kind)), "graph")
     for _ in range(ROUNDS):
-        offers = meetings(graph, codes, kind).unionAll(graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False))))
+        offers, pairs = meetings(graph, codes, kind)
+        offers = offers.unionAll(graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False))))
         after = materialise(merged(offers), "graph")
+        discard(spark, pairs)
         changed, entries = after.agg(F.sum(F.size(F.filter("fresh", lambda x: x))), F.sum(F.size("ids"))).first()
         discard(spark, graph)
         graph = after
@@ -237,7 +295,8 @@ def descend(codes: DataFrame, leaves: DataFrame, kind: str) -> DataFrame:
 def routes(graph: DataFrame, codes: DataFrame) -> DataFrame:
     """(id, ids, codes): what a search sees from a node: its neighbours and its nearest REVERSE reverse neighbours."""
     edges = graph.select("id", F.explode(F.arrays_zip("ids", "dists")).alias("e")).select("id", F.col("e.ids").alias("to"), F.col("e.dists").alias("d"))
-    both = edges.select("id", "to", "d", F.lit(False).alias("back")).unionAll(edges.select(F.col("to").alias("id"), F.col("id").alias("to"), "d", F.lit(True).alias("back")))
+    back = edges.select(F.col("to").alias("id"), F.col("id").alias("to"), "d").withColumn("r", F.expr("row_number() OVER (PARTITION BY id ORDER BY d, to)"))
+    both = edges.select("id", "to", "d", F.lit(False).alias("back")).unionAll(back.where(f"r <= {REVERSE + K}").select("id", "to", "d", F.lit(True).alias("back")))
     seen = both.join(codes.withColumnRenamed("id", "to"), "to")
 
     def run(batches):
@@ -352,8 +411,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
     members = materialise(valid.join(leaders, "v").select("id", "node"), "members")
     distinct = valid.join(members.where("id = node").select("id"), "id", "left_semi")
     n = distinct.count()
-    bits = max(0, int(np.ceil(np.log2(max(1, n) / (LEAF * 0.75)))))
-    codes, leaves = nodes_of(distinct, dimension, bits, kind)
+    codes, leaves = nodes_of(distinct, dimension, n, kind)
     codes = materialise(codes, "codes")
     entries = [tuple(r) for r in codes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).collect()]
     graph = descend(codes, leaves, kind)
