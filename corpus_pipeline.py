@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quire.llm.jaccard import jaccard_classes
 from quire.llm.lines import drop_later_lines
 from quire.llm.packing import pack
+from quire.llm.prune import parted
 from quire.llm.quality import keep_good, train
 from quire.llm.substrings import remove_repeats
 from quire.session import materialise
@@ -33,8 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group that five-word shingles with a similarity of 0.8 link, the smallest doc_id stays; rows with a null
     doc_id stay too."""
     classes = jaccard_classes(docs, words=5, num=80, den=100)
-    later = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(later, docs["doc_id"] == later["__gone"], "left_anti")
+    later = materialise(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "later")
+    likely, rest = parted(docs, docs["doc_id"], later, "__gone")
+    return likely.join(later, likely["doc_id"] == later["__gone"], "left_anti").unionAll(rest)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
