@@ -54,9 +54,14 @@ def _composed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+#: Characters that normal form C leaves alone, whatever stands beside them among each other: Latin, basic Greek and Cyrillic,
+#: common punctuation, kana, ideographs.
+STABLE = r"\x00-\u02ff\u0400-\u0482\u048a-\u052f\u2010-\u2027\u3001-\u3029\u3041-\u3098\u309b-\u30ff\u4e00-\u9fff\uff01-\uff5e"
+
+
 def nfc(c: Column) -> Column:
-    """Unicode normal form C; only texts beyond ASCII go to Python."""
-    return F.when(c.rlike(r"[^\x00-\x7f]"), _composed(c)).otherwise(c)
+    """Unicode normal form C. Only texts with a character that it may change travel to Python; for others a null does."""
+    return F.coalesce(_composed(F.when(c.rlike(f"[^{STABLE}]"), c)), c)
 
 
 def garbled_lines(c: Column) -> Column:
@@ -72,6 +77,7 @@ def garbled_lines(c: Column) -> Column:
 
 def without_empty_tables(c: Column) -> Column:
     """One-column tables without content go, with or without rows."""
+    # The two shapes of such a table.
     c = F.regexp_replace(c, r"(?m)(?:^\|[ \t]*\|\n)+\| ?-{3,} ?\|\n(?:^\|[ \t]*\|\n)+", "")
     return F.regexp_replace(c, r"(?m)^\|[ \t]*\|\n\| ?-{3,} ?\|\n", "")
 
@@ -122,18 +128,38 @@ def anchor_key(c: Column) -> Column:
 
 def page_number(c: Column) -> Column:
     """Whether a line holds nothing but a page number."""
+    # The spellings of a page number.
     return c.rlike(r"(?U)^\s*(?:\d+|[Pp][Aa][Gg][Ee]\s+\d+|-\s*\d+\s*-|第\s*\d+\s*頁|\d+\s*/\s*\d+)\s*$")
 
 
+def number_text(number: Column) -> Column:
+    """A double as the shortest decimal that names it: whole numbers without a point, an exponent below 0.0001 only; nan, inf
+    and -inf by name. Beyond 10**15 a whole number's digits are those of the shortest decimal, filled with zeros."""
+    size = F.abs(number)
+    short = number.cast("string")
+    small = F.regexp_replace(number.try_cast("decimal(38,22)").cast("string"), "0+$", "")
+    large = F.regexp_replace(number.try_cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+    power = F.regexp_extract(short, r"E(-?\d+)$", 1).try_cast("int")
+    raised = F.concat(F.regexp_replace(F.regexp_extract(short, "^(.*)E", 1), r"\.0$", ""), F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.format_string("%02d", F.abs(power)))
+    return (
+        F.when(F.isnan(number), F.lit("nan"))
+        .when(size == float("inf"), F.when(number > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+        .when((number == F.floor(number)) & (size < 1e15), number.try_cast("bigint").cast("string"))
+        .when(size >= 1e15, F.format_string("%.0f", number))
+        .when(size >= 1e7, large)
+        .when(size >= 1e-3, short)
+        .when(size >= 1e-4, small)
+        .otherwise(raised)
+    )
+
+
 def cell(kind: Column, text: Column, number: Column, when: Column, truth: Column) -> Column:
-    """A spreadsheet cell as Markdown: dates by day, whole numbers without a point, other text on one escaped line."""
-    whole = number == F.floor(number)
-    digits = F.regexp_replace(number.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+    """A spreadsheet cell as Markdown: dates by day, numbers by number_text (or as the reader wrote them), other text on one
+    escaped line."""
     value = (
         F.when(kind == "bool", F.when(truth, F.lit("TRUE")).otherwise(F.lit("FALSE")))
         .when(kind == "date", F.date_format(when, "yyyy-MM-dd"))
-        .when((kind == "float") & whole, number.cast("decimal(38,0)").cast("string"))
-        .when(kind == "float", digits)
+        .when(kind == "float", F.coalesce(text, number_text(number)))
         .otherwise(F.replace(F.regexp_replace(text, "\n", " "), F.lit("|"), F.lit("\\|")))
     )
     return F.coalesce(value, F.lit(""))

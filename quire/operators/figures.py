@@ -138,12 +138,21 @@ def anchor_lines(figures: DataFrame, lines: DataFrame, least: int = 6) -> DataFr
     f = figures.select("doc_id", "id", strip(F.col("anchor")).alias("a"), anchor_key(F.col("anchor")).alias("ak"))
     exact = f.join(keyed, (f["doc_id"] == keyed["doc_id"]) & (f["a"] == keyed["bare"])).select(f["doc_id"], "id", F.lit(0).alias("tier"), "ln")
     equal = f.join(keyed, (f["doc_id"] == keyed["doc_id"]) & (f["ak"] == keyed["lk"]) & (F.col("ak") != "")).select(f["doc_id"], "id", F.lit(1).alias("tier"), "ln")
-    inside = (F.length("lk") >= least) & (F.length("ak") >= least) & (F.col("lk").contains(F.col("ak")) | F.col("ak").contains(F.col("lk")))
-    loose = f.join(keyed, (f["doc_id"] == keyed["doc_id"]) & inside).select(f["doc_id"], "id", F.lit(2).alias("tier"), "ln")
-    best = exact.unionAll(equal).unionAll(loose).groupBy("doc_id", "id").agg(F.min_by("ln", F.struct("tier", "ln")).alias("line_no"))
+    sure = exact.unionAll(equal).groupBy("doc_id", "id").agg(F.min_by("ln", F.struct("tier", "ln")).alias("line_no"))
+    open_ = f.where(F.length("ak") >= least).join(sure, ["doc_id", "id"], "left_anti")
+    held = F.contains(F.col("lk"), F.col("ak")) | F.contains(F.col("ak"), F.col("lk"))
+    loose = open_.join(keyed.where(F.length("lk") >= least).select(F.col("doc_id").alias("d"), "ln", "lk"), (F.col("doc_id") == F.col("d")) & held)
+    best = sure.unionAll(loose.groupBy("doc_id", "id").agg(F.min("ln").alias("line_no")))
     return figures.join(best, ["doc_id", "id"], "left").withColumn("line_no", F.coalesce("line_no", F.lit(-1)))
 
 
+def ranked_ledger(statuses: DataFrame) -> DataFrame:
+    """(id, status, rank) of a ledger: bad ones first, then pending, fixed and ok ones, by id within each."""
+    # The order in which states are shown.
+    rank = F.array_position(F.array(*[F.lit(s) for s in ("bad", "pending", "fixed", "ok")]), F.col("status")) - 1
+    return statuses.withColumn("rank", rank.cast("int"))
+
+
 def overlaps(figures: DataFrame) -> DataFrame:
     """(doc_id, page, id, other): figures of one page whose ranges overlap, the other with the smaller id."""
     other = figures.select("doc_id", "page", F.col("id").alias("other"), F.col("y_start").alias("os"), F.col("y_end").alias("oe"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -12,10 +13,13 @@ from quire.functions.text import prefix_flags, rstrip, strip
 
 # Signature words of the two languages that are told from English.
 GERMAN = (
-    "und die der das den dem des ein eine einer mit von für fur auf aus bei nach über uber als auch oder aber wenn wird sind hat ist "
-    "nicht kann durch werden wurde diese dieser zwischen unter ohne gegen noch sehr schon"
-).split()
-FRENCH = "les des une dans pour avec sur par qui que est sont pas plus nous vous mais cette entre comme leur aussi peut tous même meme".split()
+    "und", "die", "der", "das", "den", "dem", "des", "ein", "eine", "einer", "mit", "von", "für", "fur", "auf", "aus", "bei", "nach", "über", "uber", "als", "auch",
+    "oder", "aber", "wenn", "wird", "sind", "hat", "ist", "nicht", "kann", "durch", "werden", "wurde", "diese", "dieser", "zwischen", "unter", "ohne", "gegen", "noch", "sehr", "schon",
+)
+FRENCH = (
+    "les", "des", "une", "dans", "pour", "avec", "sur", "par", "qui", "que", "est", "sont", "pas", "plus", "nous", "vous", "mais", "cette", "entre", "comme",
+    "leur", "aussi", "peut", "tous", "même", "meme",
+)
 
 
 @dataclass(frozen=True)
@@ -63,14 +67,14 @@ def without_noise(text: Column, rules: NoiseRules) -> Column:
 def page_language(text: Column, least: int = 5) -> Column:
     """de or fr if at least `least` signature words occur and more than of the other language, else en."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    words = F.filter(words, lambda w: w.rlike("^[a-zà-öø-ÿ]+$"))
 
+    def hits(own: tuple[str, ...]) -> Callable[[Column], Column]:
+        return lambda w: F.size(F.filter(w, lambda x: x.isin(*own)))
 
-    def hits(own: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(own)))
-
-    de, fr = hits(GERMAN), hits(FRENCH)
-    return F.when((de >= least) & (de > fr), F.lit("de")).when((fr >= least) & (fr > de), F.lit("fr")).otherwise(F.lit("en"))
+    # each transform over one element binds its value, so the words are cut once and counted once for each language
+    counts = F.transform(F.array(words), lambda w: F.struct(hits(GERMAN)(w).alias("de"), hits(FRENCH)(w).alias("fr")))
+    named = F.transform(counts, lambda n: F.when((n["de"] >= least) & (n["de"] > n["fr"]), F.lit("de")).when((n["fr"] >= least) & (n["fr"] > n["de"]), F.lit("fr")).otherwise(F.lit("en")))
+    return F.get(named, F.lit(0))
 
 
 def document_language(pages: DataFrame, key: str = "doc_id", page: str = "page_no", text: str = "text", sample: int = 2) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quire.functions import ranges, text
 from quire.operators import figures as fig
 from quire.operators import layout, lines, sections, tables
+from quire.plans.convert import described
 from quire.sources import files as files_
 from quire.sources.markup import html_markdown, html_title
 from quire.sources.profiles import load_profile
@@ -95,12 +96,24 @@ per_sec AS (SELECT doc_id, count(*) AS n_sections, sum(est_tokens)::BIGINT AS es
 SELECT d.doc_id, language, n_lines, n_noise, n_sections, est_tokens, length(regexp_replace(regexp_replace(text, '^---\\n.*?\\n---\\n', '', 's'), '[#|\\-*>\\[\\]()!`\\s]', '', 'g')) >= 100 AS sufficient
 FROM documents d JOIN lang USING (doc_id) JOIN per_line USING (doc_id) JOIN per_sec USING (doc_id)""")
 def document_overview(spark: SparkSession, d: str) -> DataFrame:
-    """Language, lines, noise, sections, tokens and sufficiency of every document."""
-    own = lines.explode_lines(docs(spark, d))
-    per_line = own.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(lines.noise(F.col("line"), RULES)).alias("n_noise"))
-    per_section = _sections(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.sum("est_tokens").alias("est_tokens"))
-    each = docs(spark, d).select("doc_id", lines.page_language(F.col("text")).alias("language"), text.sufficient(F.col("text")).alias("sufficient"))
-    return each.join(per_line, "doc_id").join(per_section, "doc_id")
+    """Language, lines, noise, sections, tokens and sufficiency of every document, all from its own text: no shuffle."""
+    rows = F.split("text", "\n")
+
+    def tokens(s: F.Column) -> F.Column:
+        return s["tokens"] + text.token_estimate(s["chars"])
+
+    def step(s: F.Column, x: F.Column) -> F.Column:
+        opens, n = x.rlike(SPLIT), (F.length(x) + 1).cast("long")
+        return F.struct(
+            F.when(opens | (s["n"] == 0), s["n"] + 1).otherwise(s["n"]).alias("n"), F.when(opens, n).otherwise(s["chars"] + n).alias("chars"),
+            F.when(opens, tokens(s)).otherwise(s["tokens"]).alias("tokens"),
+        )
+
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", "chars", "tokens")])
+    found = F.aggregate(rows, zero, step, lambda s: F.struct(s["n"].alias("n_sections"), tokens(s).alias("est_tokens")))
+    noisy = F.size(F.filter(rows, lambda x: lines.noise(x, RULES))).cast("long")
+    own = docs(spark, d).select("doc_id", lines.page_language(F.col("text")).alias("language"), text.sufficient(F.col("text")).alias("sufficient"), F.size(rows).cast("long").alias("n_lines"), noisy.alias("n_noise"), found.alias("s"))
+    return own.select("doc_id", "language", "sufficient", "n_lines", "n_noise", "s.n_sections", "s.est_tokens")
 
 
 @query(f"WITH {_language_sql()} SELECT doc_id, language FROM lang")
@@ -131,23 +144,27 @@ CASES = [
     "pubs.acs.org/joc", "Cite This: J. 2019", "# ACCESS", "Metrics & More", "*si Supporting Information", "Org. Lett. 2019, 21, 1234-1240", "ChemComm Communication", "rsc.li/chemcomm", "This journal is © The Royal Society of Chemistry",
     "View Article Online", "COMMUNICATION", "An ordinary sentence about a reaction.", "Table 2 shows the yields", "1. Introduction", "## Abstract", "", "   ",
 ]
-CASE_VALUES = ", ".join(f"({k}, '{c}')" for k, c in enumerate(CASES))
+TEXTBOOK_CASES = [
+    "Log in to MasteringChemistry", "see www.pearson.com/chemistry", "ISBN 0-321-76841-7", "312 C h a p t e r 7", "314 Chapter 7", "In Chapter 7 we saw", "A mastering of chemistry", "www.pearson.com", "312 pages", "",
+]
 
 
-def _rule_sql(name: str) -> str:
-    rules = load_profile(name).noise
-    flags = {None: "", "IGNORECASE": "(?i)"}
-    return " OR ".join(f"regexp_matches(trim(line), '{flags[f]}{p}')" for p, f in zip(rules.patterns, rules.flags, strict=True))
+def _cases(spark: SparkSession, d: str, cases: list[str], profile: str) -> DataFrame:
+    """Each document with one of the cases as its first line."""
+    first = F.get(F.array(*[F.lit(c) for c in cases]), (F.col("doc_id") % len(cases)).cast("int"))
+    own = docs(spark, d).select("doc_id", F.concat(first, F.lit("\n"), "text").alias("text"))
+    return own.select("doc_id", lines.noise(F.split_part("text", F.lit("\n"), F.lit(1)), load_profile(profile).noise).alias("noise"))
 
 
-@query(f"SELECT id, line, trim(line) <> '' AND length(trim(line)) <= 150 AND ({_rule_sql('journal')}) AS noise FROM (VALUES {CASE_VALUES}) AS t(id, line)")
+@query("SELECT doc_id, doc_id % 30 < 24 AS noise FROM documents")
 def journal_rules(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(CASES)), "id int, line string").withColumn("noise", lines.noise(F.col("line"), load_profile("journal").noise))
+    """24 of 30 first lines are what publishers add."""
+    return _cases(spark, d, CASES, "journal")
 
 
-@query(f"SELECT id, line, trim(line) <> '' AND length(trim(line)) <= 150 AND ({_rule_sql('textbook')}) AS noise FROM (VALUES {CASE_VALUES}) AS t(id, line)")
+@query("SELECT doc_id, doc_id % 10 < 5 AS noise FROM documents")
 def textbook_rules(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(CASES)), "id int, line string").withColumn("noise", lines.noise(F.col("line"), load_profile("textbook").noise))
+    return _cases(spark, d, TEXTBOOK_CASES, "textbook")
 
 
 REPEATED = """pages AS (SELECT source, count(DISTINCT doc_id) AS pages FROM src GROUP BY source),
@@ -234,14 +251,18 @@ def sufficient_content(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", n.cast("long").alias("n"), (n >= 100).alias("sufficient"))
 
 
-TITLES = "(1, '# **Scope** ..... 12'), (2, 'Chapter 5'), (3, '2024'), (4, 'a/b:c?d'), (5, '  two   words  '), (6, '---'), (7, '" + "long " * 30 + "'), (8, '`code` ~x~ 7 ')"
-
-
-@query(rf"""WITH a AS (SELECT id, title, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(title), '^#+\s*', ''), '[*_`~]', '', 'g'), '\.{{2,}}', '', 'g'), '\s*\d+\s*$', '')) AS n FROM (VALUES {TITLES}) AS t(id, title)),
-b AS (SELECT id, title, trim(regexp_replace(regexp_replace(regexp_replace(n, '[/\\:?<>"|]', '-', 'g'), '\s+', '-', 'g'), '-{{2,}}', '-', 'g'), '-') AS n FROM a)
-SELECT id, CASE WHEN n = '' THEN 'untitled' WHEN length(n) > 80 THEN rtrim(substr(n, 1, 80), '-') ELSE n END AS name FROM b""")
+@query(r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '# **' || p_name || '** ..... ' || p_size WHEN 1 THEN 'Chapter ' || p_size WHEN 2 THEN p_name || '/' || p_brand || ':' || p_type || '?' WHEN 3 THEN '  ' || replace(p_name, ' ', '   ') || '  '
+ WHEN 4 THEN repeat(p_name || ' ', 9) ELSE '---' END AS title FROM part),
+a AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(title), '^#+\s*', ''), '[*_`~]', '', 'g'), '\.{2,}', '', 'g'), '\s*\d+\s*$', '')) AS n FROM t),
+b AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(n, '[/\\:?<>"|]', '-', 'g'), '\s+', '-', 'g'), '-{2,}', '-', 'g'), '-') AS m FROM a)
+SELECT p_partkey, CASE WHEN m = '' THEN 'untitled' WHEN length(m) > 80 THEN rtrim(substr(m, 1, 80), '-') ELSE m END AS name FROM b""")
 def file_names(spark: SparkSession, d: str) -> DataFrame:
-    return inline(spark, TITLES, "id, title").select("id", text.file_name(F.col("title")).alias("name"))
+    k, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    title = (
+        F.when(k == 0, F.concat(F.lit("# **"), "p_name", F.lit("** ..... "), size)).when(k == 1, F.concat(F.lit("Chapter "), size)).when(k == 2, F.concat("p_name", F.lit("/"), "p_brand", F.lit(":"), "p_type", F.lit("?")))
+        .when(k == 3, F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit("   ")), F.lit("  "))).when(k == 4, F.repeat(F.concat("p_name", F.lit(" ")), 9)).otherwise(F.lit("---"))
+    )
+    return table(spark, d, "part").select("p_partkey", text.file_name(title).alias("name"))
 
 
 # tables
@@ -268,14 +289,17 @@ def simple_tables(spark: SparkSession, d: str) -> DataFrame:
     return own.select("n_regionkey", tables.simple_table(F.col("rows")).alias("markdown"))
 
 
-FRAGMENTS = [(1, [["", "Yield"], ["", "(%)"], ["1", "90"]]), (2, [["a", "b"], ["1", "2"]]), (3, [["", "x"], ["", "y"]]), (4, [["", ""]]), (5, [["", "h", "i"], ["1"], ["2", "3", "4", "5"]])]
-FRAGMENT_RESULTS = "(1, '|  | Yield (%) |\n| --- | --- |\n| 1 | 90 |'), (2, '|  |  |\n| --- | --- |\n| a | b |\n| 1 | 2 |'), (3, '|  | x |\n| --- | --- |\n|  | y |'), (4, NULL), (5, '|  | h | i |\n| --- | --- | --- |\n| 1 |  |  |\n| 2 | 3 | 4 |')"
-
-
-@query(f"SELECT * FROM (VALUES {FRAGMENT_RESULTS}) AS t(id, markdown)")
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '|  | Yield (%) |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_size || ' | ' || p_brand || ' |' WHEN 1 THEN '|  |  |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_brand || ' | b |' || chr(10) || '| ' || p_size || ' | 2 |'
+ WHEN 2 THEN '|  | ' || p_brand || ' |' || chr(10) || '| --- | --- |' || chr(10) || '|  | ' || p_size || ' |' WHEN 4 THEN '|  | h | ' || p_brand || ' |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || p_size || ' |  |  |' || chr(10) || '| 2 | 3 | ' || p_brand || ' |' END AS markdown FROM part""")
 def header_fragments(spark: SparkSession, d: str) -> DataFrame:
-    own = spark.createDataFrame(FRAGMENTS, "id int, rows array<array<string>>")
-    return own.select("id", tables.fragment_table(F.col("rows")).alias("markdown"))
+    """Headers over two rows, full first rows, tables without a first column, empty tables and ragged rows."""
+    k, size, brand = F.col("p_partkey") % 5, F.col("p_size").cast("string"), F.col("p_brand")
+    row = lambda *own: F.array(*[x if isinstance(x, F.Column) else F.lit(x) for x in own])
+    rows = (
+        F.when(k == 0, F.array(row("", "Yield"), row("", "(%)"), row(size, brand))).when(k == 1, F.array(row(brand, "b"), row(size, "2"))).when(k == 2, F.array(row("", brand), row("", size)))
+        .when(k == 3, F.array(row("", ""))).otherwise(F.array(row("", "h", brand), row(size), row("2", "3", brand, "5")))
+    )
+    return table(spark, d, "part").select("p_partkey", tables.fragment_table(rows).alias("markdown"))
 
 
 @query("""WITH s AS (SELECT r_regionkey, r_name, '| ' || n_nationkey || ' | ' || n_name || ' |' AS row, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)
@@ -340,20 +364,29 @@ def cell_values(spark: SparkSession, d: str) -> DataFrame:
 
 # page ranges
 
-PAGE_CASES = [(1, "7", 30), (2, "1-5", 30), (3, "1-3,7,10-12", 30), (4, "1-100", 5), (5, None, 3), (6, "", 5), (7, "-3", 5), (8, "1 , 3 , 5", 10), (9, "5-3", 30), (10, "99", 30)]
-PAGE_RESULTS = "(1, '6'), (2, '0,1,2,3,4'), (3, '0,1,2,6,9,10,11'), (4, '0,1,2,3,4'), (5, '0,1,2'), (6, ''), (7, ''), (8, '0,2,4'), (9, ''), (10, '')"
+RANGES = """r AS (SELECT o_orderkey, o_orderkey % 6 AS k, CAST(o_orderkey % 9 + 1 AS INT) AS a, CAST(o_custkey % 23 + 1 AS INT) AS b, CAST(o_orderkey % 31 + 1 AS INT) AS total FROM orders),
+p AS (SELECT *, CASE k WHEN 0 THEN [a] WHEN 1 THEN range(a, b + 1) WHEN 2 THEN list_concat([a, b], range(b, b + 4)) WHEN 3 THEN range(1, total + 1) WHEN 4 THEN [] ELSE [b, a, b] END AS pages FROM r)"""
+SHOWN = "array_to_string(list_sort(list_distinct(list_filter(pages, lambda x: x BETWEEN 1 AND total))), ',')"
+
+
+def _ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Single pages, ranges (some empty or too long), lists, no list, blank lists, and pages that repeat, by order."""
+    own = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 6).alias("k"), (F.col("o_orderkey") % 9 + 1).alias("a"), (F.col("o_custkey") % 23 + 1).alias("b"), (F.col("o_orderkey") % 31 + 1).cast("int").alias("total"))
+    k = F.col("k")
+    spec = F.when(k == 0, F.format_string("%d", "a")).when(k == 1, F.format_string("%d-%d", "a", "b")).when(k == 2, F.expr("format_string('%d, %d ,%d-%d', a, b, b, b + 3)")).when(k == 4, F.lit(" ")).when(k == 5, F.format_string("%d,%d,%d", "b", "a", "b"))
+    return own.select("o_orderkey", "k", "total", spec.alias("spec"))
 
 
-@query(f"SELECT * FROM (VALUES {PAGE_RESULTS}) AS t(id, pages)")
+@query(f"WITH {RANGES} SELECT o_orderkey, {SHOWN.replace('pages, lambda x: x', 'list_transform(pages, lambda x: x), lambda x: x')} AS pages FROM p")
 def page_sets(spark: SparkSession, d: str) -> DataFrame:
-    own = spark.createDataFrame(PAGE_CASES, "id int, spec string, total int")
-    return own.select("id", F.array_join(F.transform(ranges.page_set(F.col("spec"), F.col("total")), lambda p: p.cast("string")), ",").alias("pages"))
+    """Zero-based sets, shown from one."""
+    return _ranges(spark, d).select("o_orderkey", F.array_join(F.transform(ranges.page_set(F.col("spec"), F.col("total")), lambda p: (p + 1).cast("string")), ",").alias("pages"))
 
 
-@query("SELECT * FROM (VALUES (1, '7'), (2, '1,2,3,4,5'), (3, '1,2,3,7,10,11,12'), (4, '1,2,3,4,5'), (6, ''), (8, '1,3,5'), (9, ''), (10, '')) AS t(id, pages)")
+@query(f"WITH {RANGES} SELECT o_orderkey, {SHOWN} AS pages FROM p WHERE k <> 3")
 def figure_page_sets(spark: SparkSession, d: str) -> DataFrame:
-    own = spark.createDataFrame([c for c in PAGE_CASES if c[1] is not None and c[1] != "-3"], "id int, spec string, total int")
-    return own.select("id", F.array_join(F.transform(ranges.figure_pages(F.col("spec"), F.col("total")), lambda p: p.cast("string")), ",").alias("pages"))
+    own = _ranges(spark, d).where("k <> 3")
+    return own.select("o_orderkey", F.array_join(F.transform(ranges.figure_pages(F.col("spec"), F.col("total")), lambda p: p.cast("string")), ",").alias("pages"))
 
 
 # layout
@@ -387,15 +420,17 @@ def heading_lookup(spark: SparkSession, d: str) -> DataFrame:
     return layout.level_lookup(own, layout.heading_levels(own, layout.body_font(s, docs(spark, d)))).select("doc_id", "page_no", "block_no", "level")
 
 
-ZONES = """blk AS (SELECT CAST(regexp_replace(source, '[^0-9]', '', 'g') AS BIGINT) AS src, l.doc_id AS page, line, ln FROM lines l JOIN documents d ON d.doc_id = l.doc_id), pc AS (SELECT src, count(DISTINCT page) AS n FROM blk GROUP BY src),
+ZONES = """blk AS (SELECT CAST(regexp_replace(source, '[^0-9]', '', 'g') AS BIGINT) AS src, l.doc_id AS page, CASE WHEN ln = 0 AND l.doc_id % 3 < 2 THEN 'Head of ' || source ELSE line END AS line, ln FROM lines l JOIN documents d ON d.doc_id = l.doc_id), pc AS (SELECT src, count(DISTINCT page) AS n FROM blk GROUP BY src),
 z AS (SELECT DISTINCT src, page, CASE WHEN ln = 0 THEN 'header' ELSE 'footer' END AS zone, trim(line) AS text FROM blk WHERE (ln = 0 OR ln >= 10) AND trim(line) <> ''),
 rz AS (SELECT src AS doc_id, zone, text FROM z JOIN pc USING (src) GROUP BY src, zone, text, n HAVING count(*) >= 0.02 * n AND n >= 3)"""
 
 
 def _zones(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Sources as documents and documents as their pages; lines from the tenth on stand in the footer zone."""
-    own = table(spark, d, "documents").select(F.regexp_replace("source", "[^0-9]", "").cast("long").alias("doc_id"), F.col("doc_id").alias("page_no"), "text")
-    rows = own.select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
+    """Sources as documents and documents as their pages; two of three bear a running head, lines from the tenth on stand in
+    the footer zone."""
+    own = table(spark, d, "documents").select(F.regexp_replace("source", "[^0-9]", "").cast("long").alias("doc_id"), F.col("doc_id").alias("page_no"), "source", "text")
+    rows = own.select("doc_id", "page_no", "source", F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
+    rows = rows.withColumn("text", F.when((F.col("block_no") == 0) & (F.col("page_no") % 3 < 2), F.concat(F.lit("Head of "), "source")).otherwise(F.col("text"))).drop("source")
     y = F.when(F.col("block_no") == 0, 10.0).when(F.col("block_no") < 10, 400.0).otherwise(780.0)
     return rows.withColumn("y0", y).withColumn("y1", y + 10), own.select("doc_id", "page_no", F.lit(800.0).alias("height"))
 
@@ -466,13 +501,15 @@ def rule_groups(spark: SparkSession, d: str) -> DataFrame:
     return layout.group_extent(layout.chained(_rects(spark, d), layout.PAGE, ["top", "event_id"]), layout.PAGE)
 
 
-HEADERS = [(1, [(10.0, 40.0, "entry"), (60.0, 90.0, "ligand"), (120.0, 160.0, "yield")]), (2, [(5.0, 9.0, "entry")])]
-
-
-@query("SELECT * FROM (VALUES (1, '0.0,50.0,105.0,170.0'), (2, '-5.0,19.0')) AS t(id, borders)")
+@query("""WITH h AS (SELECT l_orderkey, l_linenumber * 60.0 + l_orderkey % 7 AS x0, l_linenumber * 60.0 + 20 + l_orderkey % 13 + l_linenumber % 3 AS x1, l_linenumber AS n FROM lineitem),
+b AS (SELECT *, lag(x1) OVER w AS px, lead(x0) OVER w AS nx FROM h WINDOW w AS (PARTITION BY l_orderkey ORDER BY n))
+SELECT l_orderkey, string_agg(round(CASE WHEN px IS NULL THEN x0 - 10 ELSE (px + x0) / 2 END, 3)::DOUBLE::VARCHAR, ',' ORDER BY n) || ',' || (max(x1) + 10)::DOUBLE::VARCHAR AS borders FROM b GROUP BY l_orderkey""")
 def column_borders(spark: SparkSession, d: str) -> DataFrame:
-    own = spark.createDataFrame(HEADERS, "id int, h array<struct<x0:double,x1:double,text:string>>")
-    return own.select("id", F.array_join(F.transform(layout.column_borders(F.col("h")), lambda x: x.cast("string")), ",").alias("borders"))
+    """Header words of a table by order: borders half way between them."""
+    n, k = F.col("l_linenumber"), F.col("l_orderkey")
+    box = F.struct((n * 60.0 + k % 7).cast("double").alias("x0"), (n * 60.0 + 20 + k % 13 + n % 3).cast("double").alias("x1"), F.lit("w").alias("text"))
+    own = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(box)).alias("h"))
+    return own.select("l_orderkey", F.array_join(F.transform(layout.column_borders(F.col("h")), lambda x: F.round(x, 3).cast("string")), ",").alias("borders"))
 
 
 WORDS = """words AS (SELECT l_orderkey AS doc_id, 0 AS page_no, CASE WHEN l_linenumber = 1 THEN 'Entry' ELSE 'w' || l_linenumber END AS text, l_linenumber * 50.0 AS x0, l_linenumber * 50.0 + 30 AS x1, 200.0 + l_quantity % 9 AS top FROM lineitem)"""
@@ -507,13 +544,17 @@ def page_assembly(spark: SparkSession, d: str) -> DataFrame:
     return layout.page_text(own.select("doc_id", F.floor(F.col("ln") / 10).alias("page_no"), (F.col("ln") % 3).alias("kind"), F.col("ln").alias("k"), "line"))
 
 
-TITLE_CASES = [(1, "# A\n\n# B\n# Lin*\nx\n# Results\n# Foo"), (2, "intro\n# One\ntext\n## Two\n# Three"), (3, "# T\n\n\nbody"), (4, "# T\n\n# Abstract\nx"), (5, "plain"), (6, "# T\n")]
-TITLE_RESULTS = "(1, '# A B\nLin*\nx\n## Results\n## Foo'), (2, 'intro\n# One\ntext\n## Two\n## Three'), (3, '# T\n\n\nbody'), (4, '# T\n## Abstract\nx'), (5, 'plain'), (6, '# T\n')"
-
-
-@query(f"SELECT * FROM (VALUES {TITLE_RESULTS}) AS t(id, text)")
+@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '# ' || c_name || ' B' || chr(10) || 'Lin*' || chr(10) || c_mktsegment || chr(10) || '## Results' || chr(10) || '## Foo' WHEN 1 THEN 'intro' || chr(10) || '# ' || c_name || chr(10) || 'text' || chr(10) || '## Two' || chr(10) || '## Three'
+ WHEN 2 THEN '# ' || c_name || repeat(chr(10), 3) || 'body' WHEN 3 THEN '# ' || c_name || chr(10) || '## Abstract' || chr(10) || 'x' WHEN 4 THEN c_name ELSE '# ' || c_name || chr(10) END AS text FROM customer""")
 def one_title(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(TITLE_CASES, "id int, text string").select("id", sections.one_title(F.col("text")).alias("text"))
+    """Titles over two headings, authors as headings, introductions, sections, no title at all."""
+    k, name = F.col("c_custkey") % 6, F.col("c_name")
+    say = lambda *own: F.concat(*[x if isinstance(x, F.Column) else F.lit(x) for x in own])
+    body = (
+        F.when(k == 0, say("# ", name, "\n\n# B\n# Lin*\n", F.col("c_mktsegment"), "\n# Results\n# Foo")).when(k == 1, say("intro\n# ", name, "\ntext\n## Two\n# Three")).when(k == 2, say("# ", name, "\n\n\nbody"))
+        .when(k == 3, say("# ", name, "\n\n# Abstract\nx")).when(k == 4, name).otherwise(say("# ", name, "\n"))
+    )
+    return table(spark, d, "customer").select("c_custkey", sections.one_title(body).alias("text"))
 
 
 # figures
@@ -609,12 +650,14 @@ def figure_fixes(spark: SparkSession, d: str) -> DataFrame:
     return fig.apply_fixes(own, fixes).select("doc_id", "id", "rejected", "y_start", "y_end", "height_pt")
 
 
-DELTAS = "(1, '+0.05'), (2, '-0.02'), (3, '+30pt'), (4, '-12.5pt')"
-
-
-@query(f"SELECT id, round(0.5 + CASE WHEN c LIKE '%pt' THEN CAST(replace(c, 'pt', '') AS DOUBLE) / 800 ELSE CAST(c AS DOUBLE) END, 6) AS y FROM (VALUES {DELTAS}) AS t(id, c)")
+@query("SELECT c_custkey, round(0.5 + CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 41 - 20) / 100.0 ELSE (c_custkey % 301 - 150) / 2.0 / 800 END, 6) AS y, round(CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 41) / 100.0 ELSE (c_custkey % 301) / 2.0 / 800 END, 6) AS at FROM customer")
 def coordinate_changes(spark: SparkSession, d: str) -> DataFrame:
-    return inline(spark, DELTAS, "id, c").select("id", F.round(ranges.shifted(F.lit(0.5), F.col("c"), F.lit(800.0)), 6).alias("y"))
+    """Changes and places as ratios and as points of a page of 800."""
+    k = F.col("c_custkey")
+    change = F.when(k % 2 == 0, F.format_string("%+.2f", (k % 41 - 20) / 100.0)).otherwise(F.format_string("%+.1fpt", (k % 301 - 150) / 2.0))
+    place = F.when(k % 2 == 0, F.format_string("%.2f", (k % 41) / 100.0)).otherwise(F.format_string("%.1fpt", (k % 301) / 2.0))
+    height = F.lit(800.0)
+    return table(spark, d, "customer").select("c_custkey", F.round(ranges.shifted(F.lit(0.5), change, height), 6).alias("y"), F.round(ranges.coordinate(place, height), 6).alias("at"))
 
 
 LAST = "last AS (SELECT user_id AS id, arg_max(event_type, (ts, event_type)) AS status FROM events WHERE user_id % 5 <> 0 GROUP BY user_id), items AS (SELECT DISTINCT user_id AS id FROM events)"
@@ -685,14 +728,17 @@ def anchor_lines(spark: SparkSession, d: str) -> DataFrame:
     return fig.anchor_lines(own.where("ln = 1").select("doc_id", anchors), own).select("doc_id", "id", "line_no")
 
 
-ANCHOR_LINES = [(1, 0, "see Table 4 below"), (1, 1, "## Table 4. Yields"), (1, 2, "Table 41"), (1, 3, "圖 2 說明"), (1, 4, "Fig 2"), (1, 5, "Scheme3"), (1, 6, "Chart 7")]
-ANCHOR_CAPS = [(1, "a", "Table 4. Yields"), (1, "b", "Figure 2 caption"), (1, "c", "式 3"), (1, "d", "Table 9"), (1, "e", "Chart 7"), (1, "f", "Table 41 x")]
-
-
-@query("SELECT * FROM (VALUES ('a', '## Table 4. Yields'), ('b', '圖 2 說明'), ('c', 'Scheme3'), ('d', ''), ('e', 'Chart 7'), ('f', 'Table 41')) AS t(id, anchor_text)")
+@query("""SELECT doc_id, unnest(['a', 'b', 'c', 'd']) AS id, unnest(['## Table ' || (doc_id % 50 + 1) || '. Yields', '圖 ' || (doc_id % 50 + 1) || ' 說明', '', 'Table ' || (doc_id % 50 + 1) || '7']) AS anchor_text FROM documents""")
 def caption_anchors(spark: SparkSession, d: str) -> DataFrame:
-    own = spark.createDataFrame(ANCHOR_LINES, "doc_id int, ln int, line string")
-    return fig.caption_anchors(spark.createDataFrame(ANCHOR_CAPS, "doc_id int, id string, caption string"), own).select("id", "anchor_text")
+    """Documents with lines before their text that name tables and figures: a heading wins, numbers are compared whole."""
+    n = (F.col("doc_id") % 50 + 1).cast("string")
+    say = lambda *own: F.concat(*[x if isinstance(x, F.Column) else F.lit(x) for x in own])
+    head = F.array(say("see Table ", n, " below"), say("## Table ", n, ". Yields"), say("Table ", n, "7"), say("圖 ", n, " 說明"), say("Fig ", n))
+    own = docs(spark, d).select("doc_id", F.posexplode(F.concat(head, F.split("text", "\n"))).alias("ln", "line"))
+    named = {"a": say("Table ", n, ". Yields"), "b": say("Figure ", n, " caption"), "c": F.lit("Chart 991"), "d": say("Table ", n, "7 x")}
+    caps = F.array(*[F.struct(F.lit(i).alias("id"), c.alias("caption")) for i, c in named.items()])
+    figures = docs(spark, d).select("doc_id", F.explode(caps).alias("c")).select("doc_id", "c.id", "c.caption")
+    return fig.caption_anchors(figures, own).select("doc_id", "id", "anchor_text")
 
 
 @query("""WITH p AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page_no, o_orderkey % 2 = 0 AS sparse FROM orders), w AS (SELECT *, lead(sparse, 1) OVER q AS a, lead(sparse, 2) OVER q AS b, lead(sparse, 3) OVER q AS c FROM p WINDOW q AS (PARTITION BY doc_id ORDER BY page_no))
@@ -705,10 +751,12 @@ def continued_figures(spark: SparkSession, d: str) -> DataFrame:
 
 # sources and sinks
 
-@query("""SELECT id, path, ext, CASE ext WHEN '.pdf' THEN 'pdf' WHEN '.htm' THEN 'html' WHEN '.csv' THEN 'csv' WHEN '.docx' THEN 'docx' END AS fmt FROM (VALUES (1, 'in/a.PDF', '.pdf'), (2, 'in/b.htm', '.htm'), (3, 'c.csv', '.csv'), (4, 'x/y.tar.docx', '.docx')) AS t(id, path, ext)""")
+@query("""WITH p AS (SELECT s_suppkey, 'in/' || s_nationkey || '/' || s_name || ['.PDF', '.htm', '.csv', '.tar.docx', '.exe', '', '.Ods', '.rtf'][s_suppkey % 8 + 1] AS path, ['.pdf', '.htm', '.csv', '.docx', '.exe', '', '.ods', '.rtf'][s_suppkey % 8 + 1] AS ext FROM supplier)
+SELECT s_suppkey, path, ext, CASE ext WHEN '.htm' THEN 'html' ELSE substr(ext, 2) END AS fmt FROM p WHERE ext NOT IN ('.exe', '')""")
 def format_dispatch(spark: SparkSession, d: str) -> DataFrame:
-    own = spark.createDataFrame([(1, "in/a.PDF"), (2, "in/b.htm"), (3, "c.csv"), (4, "x/y.tar.docx"), (5, "z.exe"), (6, "none")], "id int, path string")
-    return files_.with_format(own).select("id", "path", "ext", "fmt")
+    ends = F.get(F.array(*[F.lit(x) for x in (".PDF", ".htm", ".csv", ".tar.docx", ".exe", "", ".Ods", ".rtf")]), (F.col("s_suppkey") % 8).cast("int"))
+    own = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("in/"), F.col("s_nationkey").cast("string"), F.lit("/"), "s_name", ends).alias("path"))
+    return files_.with_format(own).select("s_suppkey", "path", "ext", "fmt")
 
 
 @query("SELECT count(*) FILTER (WHERE o_orderstatus <> 'F') AS n_ok, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_failed FROM orders")
@@ -721,9 +769,9 @@ def json_properties(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("SELECT o_orderkey, 'date_converted: \"' || strftime(o_orderdate, '%Y-%m-%d %H:%M') || '\"' AS line FROM orders")
+@query("SELECT o_orderkey, 'converted_date: \"' || strftime(o_orderdate, '%Y-%m-%d %H:%M') || '\"' AS line FROM orders")
 def frontmatter_dates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit('date_converted: "'), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm"), F.lit('"')).alias("line"))
+    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit('converted_date: "'), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm"), F.lit('"')).alias("line"))
 
 
 @query("SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
@@ -742,9 +790,13 @@ def html_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", html_markdown(F.col("html")).alias("markdown"))
 
 
-@query("SELECT page_id, page_id % 6 AS vlm FROM pages WHERE page_id % 6 > 1")
+@query("SELECT page_id // 10 AS doc_id, page_id % 10 AS page_no, 'A figure of ' || octet_length(encode(html)) || ' bytes' AS descr FROM pages WHERE page_id % 10 < 7 AND octet_length(encode(html)) % 6 > 1")
 def described_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Descriptions that are empty or say that a page is text only are left out."""
-    k = F.col("page_id") % 6
-    own = table(spark, d, "pages").select("page_id", k.alias("vlm"), F.when(k == 0, "").when(k == 1, "Page (text only)").otherwise("A figure").alias("descr"))
-    return own.where("descr <> '' AND NOT contains(descr, '(text only)')").select("page_id", "vlm")
+    """Seven of ten pages are wanted; descriptions that are empty or say that a page is text only are left out."""
+    own = table(spark, d, "pages").select(F.floor(F.col("page_id") / 10).alias("doc_id"), (F.col("page_id") % 10).alias("page_no"), F.encode("html", "UTF-8").alias("png"))
+
+    def describe(png: F.Column) -> F.Column:
+        n = F.octet_length(png)
+        return F.when(n % 6 == 0, "").when(n % 6 == 1, "Page (text only)").otherwise(F.format_string("A figure of %d bytes", n))
+
+    return described(own, F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long")), describe)
