@@ -101,46 +101,48 @@ def fit_lines(sequences: list[np.ndarray], kept: list[bool], sizes: list[np.ndar
 
 
 def fit_field(sequences: list[np.ndarray], labels: list, groups: list[int] | None = None, start: LineField | None = None, rounds: int = 150, rate: float = 0.3, decay: float = 1e-3) -> LineField:
-    """Maximum likelihood by gradient ascent (Adam) with forward-backward over padded sequences.
+    """Maximum likelihood by gradient ascent (Adam) with forward-backward over all sequences at once.
 
     labels holds an array per sequence, or one label for all its lines; groups (0 or 1, by default the first labels) weigh
-    the same in total.
+    the same in total. Sequences stand from the longest to the shortest and lines by their place, so the lines of one place
+    are neighbours, and those that go on come first.
     """
-    n, longest = len(sequences), max(map(len, sequences))
-    x = np.zeros((n, longest, FEATURES))
-    mask = np.zeros((n, longest))
-    gold = np.zeros((n, longest, 2))
-    for i, (s, own) in enumerate(zip(sequences, labels, strict=True)):
-        x[i, : len(s)], mask[i, : len(s)] = s, 1
-        gold[i, np.arange(len(s)), own] = 1
-    y = np.asarray(groups if groups is not None else [np.ravel(own)[0] for own in labels])
-    weight = 1 / np.maximum(1, np.array([mask[y == k].sum() for k in (0, 1)]))[y] / 2
-    gold_e = np.einsum("nlf,nlk,n->fk", x, gold, weight)
-    gold_t = np.einsum("nla,nlb,n->ab", gold[:, :-1], gold[:, 1:], weight)
+    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+    size = np.array([len(sequences[i]) for i in order])
+    live = np.array([(size > k).sum() for k in range(size[0])])  # sequences with a line at place k
+    begin = np.concatenate([[0], np.cumsum(live)])
+    owner = np.concatenate([np.arange(m) for m in live])
+    row = lambda k, j: begin[k] + j
+    x, gold = np.empty((begin[-1], FEATURES)), np.zeros((begin[-1], 2))
+    for j, i in enumerate(order):
+        at = row(np.arange(size[j]), j)
+        x[at] = sequences[i]
+        gold[at, labels[i]] = 1
+    y = np.array([groups[i] if groups is not None else int(np.ravel(labels[i])[0]) for i in order])
+    weight = (1 / np.maximum(1, np.bincount(y[owner], minlength=2)) / 2)[y]
+    after = np.concatenate([row(k, np.arange(live[k])) for k in range(1, len(live))]) if len(live) > 1 else np.empty(0, np.int64)
+    before = np.concatenate([row(k - 1, np.arange(live[k])) for k in range(1, len(live))]) if len(live) > 1 else np.empty(0, np.int64)
+    ends = row(size - 1, np.arange(len(size)))
+    gold_e, gold_t = x.T @ (gold * weight[owner][:, None]), gold[before].T @ (gold[after] * weight[owner[after]][:, None])
     p = [start.emission, start.transition] if start else [np.zeros((FEATURES, 2)), np.zeros((2, 2))]
     first, second = ([np.zeros_like(v) for v in p] for _ in range(2))
     for step in range(1, rounds + 1):
-        e = x @ p[0]
-        t = p[1]
-        forward = np.zeros((n, longest, 2))
-        backward = np.zeros((n, longest, 2))
-        forward[:, 0] = e[:, 0]
-        for i in range(1, longest):
-            go = np.logaddexp(forward[:, i - 1, :1] + t[0], forward[:, i - 1, 1:] + t[1]) + e[:, i]
-            forward[:, i] = np.where(mask[:, i, None] > 0, go, forward[:, i - 1])
-        for i in range(longest - 2, -1, -1):
-            nxt = e[:, i + 1] + backward[:, i + 1]
-            go = np.logaddexp(nxt[:, :1] + t[:, 0], nxt[:, 1:] + t[:, 1])
-            backward[:, i] = np.where(mask[:, i + 1, None] > 0, go, 0)
-        z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-        marginal = np.exp(forward + backward - z[:, None, None]) * mask[:, :, None] * weight[:, None, None]
-        expect_e = np.einsum("nlf,nlk->fk", x, marginal)
+        e, t = x @ p[0], p[1]
+        forward, backward = e.copy(), np.zeros_like(e)
+        for k in range(1, len(live)):
+            own, prior = slice(begin[k], begin[k + 1]), slice(begin[k - 1], begin[k - 1] + live[k])
+            forward[own] += np.logaddexp(forward[prior, :1] + t[0], forward[prior, 1:] + t[1])
+        for k in range(len(live) - 1, 0, -1):
+            own, prior = slice(begin[k], begin[k + 1]), slice(begin[k - 1], begin[k - 1] + live[k])
+            reach = e[own] + backward[own]
+            backward[prior] = np.logaddexp(reach[:, :1] + t[:, 0], reach[:, 1:] + t[:, 1])
+        z = np.logaddexp(forward[ends, 0], forward[ends, 1])
+        expect_e = x.T @ (np.exp(forward + backward - z[owner][:, None]) * weight[owner][:, None])
         expect_t = np.zeros((2, 2))
-        if longest > 1:
-            live = mask[:, 1:] * weight[:, None]
+        if len(after):
+            ahead = e[after] + backward[after] - z[owner[after]][:, None]
             for a in (0, 1):
-                for b in (0, 1):
-                    expect_t[a, b] = (np.exp(forward[:, :-1, a] + t[a, b] + e[:, 1:, b] + backward[:, 1:, b] - z[:, None]) * live).sum()
+                expect_t[a] = weight[owner[after]] @ np.exp(forward[before, a : a + 1] + t[a] + ahead)
         for k, g in enumerate((gold_e - expect_e - decay * p[0], gold_t - expect_t - decay * p[1])):
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.01 * (g * g - second[k])
