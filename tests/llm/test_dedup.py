@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quire.llm.components import components
 from quire.llm.jaccard import InvertedLists, Signatures, jaccard_classes
-from quire.llm.lines import drop_later_lines, line_report
-from quire.llm.substrings import FingerprintIndex, remove_repeats, removals, selected
-from quire.llm.words import shingle_sets, words_of
+from quire.llm.lines import drop_later_lines, line_report, repeated_runs
+from quire.llm.substrings import FingerprintIndex, SubstringIndex, remove_repeats, removals, selected
+from quire.llm.words import shingle_sets, windows_of, words_of
+from quire.session import listed, scratch_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -140,15 +141,56 @@ def test_selected_positions_follow_from_the_window():
 
 
 def test_index_compacts_its_runs(spark):
-    index = FingerprintIndex(spark, 2)
+    path = scratch_path(spark, "t")
+    index = FingerprintIndex(spark, path, 2)
     hits = []
     for k in range(7):
         batch = spark.createDataFrame([(h, k * 10 + d, 0) for h in (k, k + 1, 99) for d in (0, 1)], "h long, doc long, pos int").where(F.expr("h = 99 OR doc % 10 = 0"))
         hits.append({r.h for hit in index.add(batch) for r in hit.collect()})
+        index.save()
     assert hits == [{99}] + [{k, 99} for k in range(1, 7)]
     assert index.entries().count() == 7 * 4 and max(map(len, index.levels)) <= 2 and len(index.levels) > 1
+    assert len([f for f in listed(spark, path) if f.startswith("quire_run")]) == sum(map(len, index.levels))
     index.close()
     assert not index.tables
+    again = FingerprintIndex(spark, path, 5)
+    assert again.buckets == 2 and again.entries().count() == 7 * 4
+    again.close()
+
+
+def test_increments_equal_one_run(spark, rows):
+    """Batches of ascending ids, the index opened anew between them, give what one run over all gives."""
+    own = sorted((r[:2] for r in rows if r[0] is not None), key=lambda r: r[0])
+    cut = own[len(own) // 2][0]
+    parts = [[r for r in own if r[0] < cut], [r for r in own if cut <= r[0] < 9000], [r for r in own if r[0] >= 9000]]
+    path, got = scratch_path(spark, "t"), []
+    for part in parts:
+        index = SubstringIndex(spark, path, 50, 3)
+        got += [tuple(r) for r in index.add(spark.createDataFrame(part, "doc_id long, text string")).collect()]
+        index.close()
+    assert sorted(got, key=str) == brute_removals(own, 50)
+    index = SubstringIndex(spark, path)
+    with pytest.raises(ValueError, match="above 9000"):
+        index.add(spark.createDataFrame(parts[0], "doc_id long, text string"))
+    index.close()
+
+
+def test_a_failed_batch_leaves_the_index_as_it_was(spark, monkeypatch):
+    import quire.llm.substrings as module
+
+    text = " ".join(f"w{k}" for k in range(80))
+    path = scratch_path(spark, "t")
+    index = SubstringIndex(spark, path, 50, 2)
+    index.add(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    with monkeypatch.context() as m:
+        m.setattr(module, "cuts_of", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.add(spark.createDataFrame([(2, text)], "doc_id long, text string"))
+    index.close()
+    index = SubstringIndex(spark, path)
+    got = index.add(spark.createDataFrame([(2, "x " + text), (3, "y")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(2, 81, 80), (3, 1, 0)]
+    index.close()
 
 
 def test_remove_repeats_keeps_the_rest(docs, rows, none):
@@ -161,19 +203,38 @@ def test_remove_repeats_keeps_the_rest(docs, rows, none):
     assert untouched[0] is None and untouched[6] == "  \n\t "
 
 
-def brute_lines(rows, min_words=10):
-    one, two, out = {}, {}, {}
-    seen = sorted({(i, t) for i, t, *_ in rows if i is not None and t is not None})
-    for i, t in seen:
-        lines = [x for x in t.split("\n") if x.strip(" \t\n\v\f\r")]
-        gone = set()
-        for k, x in enumerate(lines):
-            if one.setdefault(x, (i, k)) != (i, k) and len(WORD.findall(x)) >= min_words:
-                gone.add(k)
-        for k in range(len(lines) - 1):
-            if two.setdefault((lines[k], lines[k + 1]), (i, k)) != (i, k):
-                gone |= {k, k + 1}
-        out[i, t] = len(lines), gone
+def brute_lines(rows, min_words=10, min_places=20):
+    """Lines that maximal runs cover, from the places of every run of 1, 2, 4, ... lines."""
+    texts = {}
+    for i, t in sorted({(i, t) for i, t, *_ in rows if i is not None and t is not None}):
+        texts[i, t] = [x for x in t.split("\n") if x.strip(" \t\n\v\f\r")]
+    places, k = {}, 0
+    while any(len(x) >= 1 << k for x in texts.values()):
+        for own, lines in texts.items():
+            for p in range(len(lines) - (1 << k) + 1):
+                places.setdefault((k, *lines[p : p + (1 << k)]), []).append((own, p))
+        k += 1
+    out = {}
+    for own, lines in texts.items():
+        gone, longest = set(), 0
+        for level in range(k):
+            chains, last = [], None
+            for p in range(len(lines) - (1 << level) + 1):
+                found = places[level, *lines[p : p + (1 << level)]]
+                first = found[0]
+                if first == (own, p):
+                    last = None
+                    continue
+                if last is None or last != (first[0], first[1] - 1):
+                    chains.append([p, p, len(found)])
+                chains[-1][1:] = p, min(chains[-1][2], len(found))
+                last = first
+            for i, j, many in chains:
+                cover = range(i, j + (1 << level))
+                longest = max(longest, len(cover))
+                if sum(len(WORD.findall(lines[x])) for x in cover) >= min_words or many >= min_places:
+                    gone |= set(cover)
+        out[own] = len(lines), gone, longest
     return out
 
 
@@ -183,7 +244,7 @@ def test_line_report(docs, rows, none):
     assert len(got) == len(rows) and line_report(none).count() == 0
     expected = []
     for i, t, *_ in rows:
-        n, gone = want.get((i, t), (len([x for x in (t or "").split("\n") if x.strip()]), set()))
+        n, gone, longest = want.get((i, t), (len([x for x in (t or "").split("\n") if x.strip()]), set(), 0))
         at, kept = 0, []
         for x in (t or "").split("\n"):
             if not x.strip(" \t\n\v\f\r"):
@@ -192,16 +253,40 @@ def test_line_report(docs, rows, none):
             if at not in gone:
                 kept.append(x)
             at += 1
-        expected.append((i, n, len(gone), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    assert sorted((tuple(r[:4]) for r in got), key=str) == sorted(expected, key=str)
+        expected.append((i, n, len(gone), hashlib.sha256("\n".join(kept).encode()).hexdigest(), longest))
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
 
 
-def test_depth_of_repeated_runs(spark):
+def test_longest_copies(spark):
     lines = [f"line {k} of some text" for k in range(40)]
     rows = [(1, "\n".join(lines)), (2, "\n".join(["new", *lines[3:20], "end"])), (3, "a\na\na\na\na"), (4, "alone")]
     got = {r.doc_id: r for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].depth is None and got[2].depth == 4 and got[2].n_removed == 17
-    assert got[3].depth == 2 and got[3].n_removed == 5 - 1 + 0 and got[4].depth is None
+    assert {d: (r.longest_copy, r.n_removed) for d, r in got.items()} == {1: (0, 0), 2: (17, 17), 3: (4, 0), 4: (0, 0)}
+
+
+def test_long_runs_of_short_lines_need_deep_levels(spark):
+    """Four lines of three words whose single lines and pairs stand earlier in other places: only the run of four counts."""
+    a, b, c, d = (f"{x} {x} {x}" for x in "abcd")
+    rows = [(1, "\n".join([a, "1", b, "2", c, "3", d])), (2, "\n".join([a, b, "4", c, d, "5", b, c])), (3, "\n".join([a, b, c, d])), (4, "\n".join(["x", a, b, c, d]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: len(gone) for (i, _), (_, gone, _) in brute_lines(rows).items()}
+    assert want == {1: 0, 2: 0, 3: 0, 4: 4}
+    assert {r.doc_id: r.n_removed for r in line_report(df).collect()} == want
+    assert {k: len(level.collect()) > 0 for k, level in enumerate(repeated_runs(df))} == {0: True, 1: True, 2: True}
+
+
+def test_frequent_short_lines_go(spark):
+    rows = [(k, f"document {k}\nHome\nabout {k % 7}") for k in range(40)]
+    got = {r.doc_id: r.n_removed for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: int(k > 0) for k in range(40)}
+
+
+def test_lines_on_random_texts(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, "\n".join(rng.choice(["a b", "c", "d e f", "g h i j", "k", ""], rng.integers(1, 30)).tolist())) for k in range(40)]
+    want = {i: (n, len(gone), longest) for (i, _), (n, gone, longest) in brute_lines(rows).items()}
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.longest_copy) for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
 
 
 def test_drop_later_lines(docs, none):
@@ -210,3 +295,27 @@ def test_drop_later_lines(docs, none):
     report = {(r.doc_id, r.kept_sha256) for r in line_report(docs).collect()}
     for r in got.collect():
         assert r.text is None or (r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) in report
+
+
+def regular(n: int) -> tuple[str, str]:
+    """Two complementary strings of 2**n letters that polynomial hashes modulo powers of two can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [4, 6, 8, 10, 11])
+def test_regular_texts_are_told_apart(spark, n):
+    a, b = regular(n)
+    words = words_of([f"{a} {b}"])
+    assert words.hash[0] != words.hash[1]
+    x, y = (words_of([" ".join(s)]).hash for s in (a, b))
+    assert all(windows_of(x, k)[0] != windows_of(y, k)[0] for k in (1, 2, 3, 5, 20, 50, 1 << n) if k <= len(x) and (k > 1 or a[0] != b[0]))
+    head = [f"w{k}" for k in range(30)]
+    rows = [(1, " ".join([*head, a, *head])), (2, " ".join([*head, b, *head])), (3, f"line with {a} and nothing else in it so far\nend"), (4, f"line with {b} and nothing else in it so far\nfin"), (5, " ".join(a)), (6, " ".join(b)), (7, a), (8, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_classes(df, 3, 90).collect()} == brute_classes(rows, 3, 90, 100)
+    if n in (6, 10):
+        assert sorted(map(tuple, removals(df).collect()), key=str) == brute_removals(rows, 50)
+        assert {r.doc_id: r.n_removed for r in line_report(df).collect()} == dict.fromkeys(range(1, 9), 0)

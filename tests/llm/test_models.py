@@ -11,7 +11,7 @@ import __spark_entry__
 import corpus_pipeline
 from quire.llm.language import WINDOW, WIDTHS, ByteNet, identify, predict, windows
 from quire.llm.lines import drop_later_lines
-from quire.llm.neighbours import complete_groups, nearest
+from quire.llm.neighbours import LEAF, Forest, complete_groups, leaf_parts, nearest
 from quire.llm.prune import parted
 from quire.llm.quality import FEATURES, LineField, assess, base, fit_field, keep_good, train
 
@@ -124,9 +124,64 @@ def test_labelled_documents_are_told_apart(spark, none):
     assert keep_good(none, field).count() == 0
 
 
+def test_shares_of_content_vary(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    field = train(docs, labels)
+    shares = [r.content_share for r in assess(docs, field).where("NOT base_failed").collect()]
+    assert sum(0.02 < x < 0.98 for x in shares) > 0.02 * len(shares)
+    good = docs.join(labels.where("quality = 1"), "doc_id").where("length(text) > 1500").orderBy("doc_id").limit(12)
+    menu = "\n".join(["*** %% $$ ## &&& *** %%% $$$ ###"] * 3) + "\n"
+    headed = good.select("doc_id", F.concat(F.lit(menu), "text").alias("text"))
+    got = assess(headed, field).where("NOT base_failed").collect()
+    assert got and all(r.kept and 0.5 < r.content_share < 1 for r in got)
+
+
 # neighbours
 
 
+@pytest.mark.parametrize("kind", ["offset", "clusters", "copies", "spread"])
+def test_recall_on_uneven_vectors(spark, kind):
+    rng = np.random.default_rng(12)
+    noise = rng.normal(size=(2000, 32))
+    v = {"offset": 0.01 * noise + 5 * (np.arange(32) == 0), "clusters": rng.normal(size=(25, 32))[rng.integers(0, 25, 2000)] + 0.01 * noise, "copies": np.where(np.arange(2000)[:, None] % 3 == 0, noise[0], noise), "spread": noise}[kind].astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in nearest(df, df.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    right = []
+    for q, got in found.items():
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[q] = np.inf
+        limit = np.sort(d)[9]
+        right.append(sum(s <= limit + 1e-12 for _, s in got))
+        assert got == sorted(got, key=lambda x: (x[1], x[0])) and all(abs(d[i] - s) < 1e-9 for i, s in got)
+    assert len(found) == 20 and np.mean(right) >= 9
+
+
+def test_recall_on_the_table(spark):
+    df = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    rows = {r.vec_id: r.embedding for r in df.collect() if r.embedding is not None and None not in r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)}
+    found = {}
+    for r in __spark_entry__.queries()["op5_neighbours"](spark, SMALL).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sorted(found) == sorted(i for i in rows if i % 100 == 0)
+    assert np.mean([len(found[q] & {i for i, _ in brute_nearest(rows, q)}) for q in found]) >= 9
+
+
+def test_leaves_are_bounded():
+    rng = np.random.default_rng(2)
+    for v in (rng.normal(size=(6000, 8)), np.eye(8)[0] * 5 + 0.001 * rng.normal(size=(6000, 8)), rng.normal(size=(3, 8))[rng.integers(0, 3, 6000)] + 0.001 * rng.normal(size=(6000, 8))):
+        forest = Forest(v[:2048] - v[:2048].mean(0), len(v))
+        leaf, place = forest.leaves(v - v[:2048].mean(0), 0)
+        assert np.bincount(leaf).max() < 8 * LEAF
+        order = np.lexsort((place, leaf))
+        rows = [(0, int(leaf[i]), int(i), b"x") for i in order]
+        for size in (100, 1000):
+            batches = [pa.RecordBatch.from_pydict(dict(zip(("tree", "leaf", "id", "code"), zip(*rows[k : k + size])))) for k in range(0, len(rows), size)]
+            parts = [ids for ids, _ in leaf_parts(batches)]
+            assert max(map(len, parts)) <= LEAF and np.concatenate(parts).tolist() == order.tolist() and all(len(set(leaf[p])) == 1 for p in parts)
+
+
 def brute_nearest(rows: dict, query: int, k: int = 10) -> list:
     q = np.array(rows[query], float)
     gaps = sorted((float(np.sqrt(((np.array(v, float) - q) ** 2).sum())), i) for i, v in rows.items() if i != query)

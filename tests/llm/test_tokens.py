@@ -174,3 +174,29 @@ def test_packer_fills_all_but_the_last_sequences():
         filled[sequence] = filled.get(sequence, 0) + len(ids) // 4
     assert sum(filled.values()) == sum(sizes) and sum(n != 256 for n in filled.values()) <= 8
     assert len(out) < 3 * len(sizes) + sum(sizes) // 256
+
+
+@pytest.mark.parametrize("n", [3, 5, 9, 10, 11])
+def test_regular_pieces_get_their_own_ids(library, n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    texts = [f"q {a}", f"q {b}", a, b, f"{a} {b} {a}"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in IdEncoder(BPE).encode(texts)] == want
+
+
+def test_bins_keep_their_count_without_long_documents():
+    """Documents shorter than a sequence only: nearly all sequences come from bins of a fixed count, none is padded."""
+    rng = random.Random(7)
+    packer, out, lengths = HarmonicPacker(), [], [rng.randint(1, rng.choice([300, 1000, 2047])) for _ in range(6000)]
+    for k, n in enumerate(lengths):
+        out += packer.add(k, np.full(n, k, "<u4").tobytes())
+    out += packer.finish()
+    sizes = {}
+    for document, start, ids, n, sequence, offset in out:
+        assert set(np.frombuffer(ids, "<u4").tolist()) == {document} and n == lengths[document] and offset == sizes.get(sequence, 0)
+        sizes[sequence] = offset + len(ids) // 4
+    assert sum(sizes.values()) == sum(lengths) and all(n == 2048 or n & (n - 1) == 0 for n in sizes.values())
+    assert packer.origin["full"] == 0 and packer.origin["cut"] <= 12 and packer.origin["bin"] > 0.97 * len(sizes)
+    assert len(out) < 1.4 * len(lengths)  # most documents stay whole
