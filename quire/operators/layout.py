@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import page_number, strip
+from quire.operators.tables import valid_table
 
 PAGE = ["doc_id", "page_no"]
+TABLE_WORDS = ("Table", "TABLE")  # fixed values: words that a table's caption starts with
 DEFAULT_BODY = 10.0
 PRESENTATION_BODY = 18.0
 # What bold lines of body size must look like to be headings, and what captions start with.
@@ -128,13 +130,114 @@ def group_extent(groups: DataFrame, key: list[str]) -> DataFrame:
 
 def caption_above(groups: DataFrame, words: DataFrame, wide: float = 0.4, slack: float = 30.0) -> DataFrame:
     """groups with (cap_top, cap_x0) of the first caption word above: on the whole page for wide groups, else within slack."""
-    marks = words.where(F.col("text").rlike("(?i)^(Table|Scheme|Figure)$|^表")).select(*PAGE, F.col("x0").alias("wx"), F.col("top").alias("wtop"))
+    marks = words.where(F.col("text").isin(*TABLE_WORDS)).select(*PAGE, F.col("x0").alias("wx"), F.col("top").alias("wtop"))
     broad = F.col("x1") - F.col("x0") > F.col("page_width") * wide
     near = broad | F.col("wx").between(F.col("x0") - slack, F.col("x1") + slack)
     found = groups.join(marks, PAGE).where((F.col("wtop") < F.col("top")) & near).groupBy(*PAGE, "grp").agg(F.min("wtop").alias("cap_top"), F.min_by("wx", F.struct("wtop", "wx")).alias("cap_x0"))
     return groups.join(found, [*PAGE, "grp"], "left")
 
 
+def crop_zones(groups: DataFrame, wide: float = 0.4, margin: float = 5.0, below: float = 50.0) -> DataFrame:
+    """groups (as caption_above gives them, with page_width and page_height) that have a caption, with the box to cut: zx0,
+    ztop, zx1, zbottom. A wide group keeps to the half of the page in which its caption stands."""
+    g = groups.where("cap_top IS NOT NULL")
+    width, broad = F.col("page_width"), F.col("x1") - F.col("x0") > F.col("page_width") * wide
+    left_half = broad & (F.col("cap_x0") < width / 2)
+    x0 = F.greatest(F.lit(0.0), F.when(left_half, F.col("cap_x0") - margin).otherwise(F.col("x0") - margin))
+    x1 = F.least(F.when(left_half, width / 2 + 10).otherwise(width), F.col("x1") + margin)
+    return g.withColumns({"zx0": x0, "ztop": F.greatest(F.lit(0.0), F.col("cap_top") - margin), "zx1": x1, "zbottom": F.least(F.col("page_height"), F.col("bottom") + below)})
+
+
+def entry_zones(entries: DataFrame, words: DataFrame, slack: float = 20.0, margin: float = 5.0, reach: float = 300.0, pad: float = 10.0) -> DataFrame:
+    """entries (as entry_headers gives them, with page_width and page_height) under a caption word that starts no more than
+    `slack` left of their left border, with the caption's top and the box to cut; entries without one go."""
+    marks = words.where(F.col("text").isin(*TABLE_WORDS)).select(*PAGE, F.col("x0").alias("wx"), F.col("top").alias("wtop"))
+    left, right = F.element_at("headers", 1)["x0"] - pad, F.element_at("headers", -1)["x1"] + pad
+    e = entries.withColumns({"left": left, "right": right})
+    found = e.join(marks, PAGE).where((F.col("wtop") < F.col("entry_top")) & (F.col("wx") >= F.col("left") - slack))
+    cap = found.groupBy(*PAGE, "entry_top", "entry_x0").agg(F.min("wtop").alias("cap_top"))
+    e = e.join(cap, [*PAGE, "entry_top", "entry_x0"])
+    return e.withColumns({
+        "zx0": F.greatest(F.lit(0.0), F.col("left") - margin), "ztop": F.greatest(F.lit(0.0), F.col("cap_top") - margin),
+        "zx1": F.least(F.col("page_width"), F.col("right") + margin), "zbottom": F.least(F.col("page_height"), F.col("entry_top") + reach),
+    }).drop("left", "right")
+
+
+def zone_tables(zones: DataFrame, words: DataFrame, key: list[str], borders: Column | None = None, line: float = 3.0, gap: float = 8.0) -> DataFrame:
+    """(key, rows): the words (text, x0, x1, top) of each zone as rows of cells.
+
+    Words whose tops differ by less than `line` from the word above are one row. Columns lie between the given borders
+    (array<double>), else between the gaps of at least `gap` that no word of the zone reaches into.
+    """
+    z = zones.withColumn("borders", borders) if borders is not None else zones.withColumn("borders", F.lit(None).cast("array<double>"))
+    w = words.select(*PAGE, "text", F.col("x0").alias("wx0"), F.col("x1").alias("wx1"), F.col("top").alias("wtop"))
+    inside = z.select(*PAGE, *[k for k in key if k not in PAGE], "borders", "zx0", "ztop", "zx1", "zbottom").join(w, PAGE)
+    inside = inside.where("wx0 >= zx0 AND wx1 <= zx1 AND wtop >= ztop AND wtop <= zbottom")
+    own = F.array_sort(F.collect_list(F.struct("wtop", "wx0", "wx1", "text")))
+    zone = inside.groupBy(*key).agg(own.alias("w"), F.first("borders").alias("borders"))
+    first = F.struct(F.lit(-1e9).alias("top"), F.lit(-1).alias("row"), F.array().cast("array<struct<row:int,wx0:double,wx1:double,text:string>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        row = F.when(x["wtop"] - s["top"] >= line, s["row"] + 1).otherwise(s["row"])
+        return F.struct(x["wtop"].alias("top"), row.alias("row"), F.concat(s["out"], F.array(F.struct(row.alias("row"), x["wx0"].alias("wx0"), x["wx1"].alias("wx1"), x["text"].alias("text")))).alias("out"))
+
+    numbered = F.array_sort(F.aggregate("w", first, step)["out"])
+    spread = F.array_sort(F.transform("w", lambda x: F.struct(x["wx0"].alias("a"), x["wx1"].alias("b"))))
+    start = F.struct(F.lit(float("-inf")).alias("b"), F.array().cast("array<double>").alias("cut"))
+    gaps = F.aggregate(spread, start, lambda s, x: F.struct(F.greatest(s["b"], x["b"]).alias("b"), F.when(x["a"] - s["b"] >= gap, F.concat(s["cut"], F.array(x["a"]))).otherwise(s["cut"]).alias("cut")))["cut"]
+    left = F.coalesce(F.slice("borders", 1, F.greatest(F.size("borders") - 1, F.lit(1))), gaps)
+    middle = lambda x: (x["wx0"] + F.when(F.col("borders").isNull(), x["wx0"]).otherwise(x["wx1"])) / 2
+
+    def placed(s: Column) -> Column:
+        column = lambda x: F.greatest(F.lit(0), F.size(F.filter(s["left"], lambda e: e <= middle(x))) - 1)
+        return F.struct(F.transform(s["n"], lambda x: F.struct(x["row"].alias("row"), column(x).alias("column"), x["text"].alias("text"))).alias("cells"), F.size(s["left"]).alias("width"))
+
+    def laid_out(s: Column) -> Column:
+        cell = lambda r, c: F.array_join(F.transform(F.filter(s["cells"], lambda x: (x["row"] == r) & (x["column"] == c)), lambda x: x["text"]), " ")
+        last = F.element_at(s["cells"], -1)["row"]
+        return F.transform(F.sequence(F.lit(0), last), lambda r: F.transform(F.sequence(F.lit(0), s["width"] - 1), lambda c: cell(r, c)))
+
+    # each transform over one element binds its value, so nothing is worked out again for every cell
+    rows = F.transform(F.transform(F.array(F.struct(numbered.alias("n"), left.alias("left"))), placed), laid_out)
+    return zone.select(*key, F.get(rows, F.lit(0)).alias("rows"))
+
+
+def table_cascade(given: DataFrame, rects: DataFrame, words: DataFrame, pages: DataFrame, top: float = 0.15) -> DataFrame:
+    """(doc_id, page_no, tbl_no, rows) of each page by the first strategy that gives a valid table.
+
+    given: tables that the parser found itself (doc_id, page_no, top, rows), below `top` of the page. Then zones of ruling
+    rectangles (doc_id, page_no, x0, x1, top, bottom) under a caption, then columns under a header that begins with `entry`.
+    words: doc_id, page_no, text, x0, x1, top. pages: doc_id, page_no, page_width, page_height.
+    """
+    own = given.join(pages, PAGE).where(F.col("top") >= F.col("page_height") * top).select(*PAGE, F.lit(1).alias("prio"), F.col("top").alias("at"), F.lit(0.0).alias("x"), "rows")
+    ruled = chained(ruling_lines(rects.join(pages, PAGE)), PAGE, ["top", "x0"])
+    groups = caption_above(group_extent(ruled, PAGE).join(pages, PAGE), words)
+    second = zone_tables(crop_zones(groups), words, [*PAGE, "ztop", "zx0"]).select(*PAGE, F.lit(2), "ztop", "zx0", "rows")
+    paged = words.join(pages, PAGE)
+    entries = entry_zones(entry_headers(paged).join(pages, PAGE), words)
+    third = zone_tables(entries, words, [*PAGE, "ztop", "zx0"], column_borders(F.col("headers"))).select(*PAGE, F.lit(3), "ztop", "zx0", "rows")
+    found = own.unionAll(second).unionAll(third).where(valid_table(F.col("rows")))
+    order = Window.partitionBy(*PAGE).orderBy("at", "x")
+    return first_strategy(found).withColumn("tbl_no", F.row_number().over(order) - 1).select(*PAGE, "tbl_no", "rows")
+
+
+def text_blocks(blocks: DataFrame) -> DataFrame:
+    """Only blocks of text, where the table of blocks says what each is (type 0)."""
+    return blocks.where("type = 0") if "type" in blocks.columns else blocks
+
+
+def page_images(pages: DataFrame, folder: str = "images") -> DataFrame:
+    """Parts (as page_text takes them) that show each page (doc_id, page_no) as a picture: images/pages/page_001.png, ..."""
+    n = F.col("page_no") + 1
+    return pages.select("doc_id", "page_no", F.lit(3).alias("kind"), F.lit(0).cast("long").alias("k"), F.format_string(f"\n![Page %d]({folder}/pages/page_%03d.png)\n", n, n).alias("line"))
+
+
+def page_descriptions(described: DataFrame) -> DataFrame:
+    """Parts with what was said of pages (doc_id, page_no, descr)."""
+    line = F.format_string("<!-- Page %d VLM descriptions -->\n%s\n", F.col("page_no") + 1, F.col("descr"))
+    return described.select("doc_id", "page_no", F.lit(4).alias("kind"), F.lit(0).cast("long").alias("k"), line.alias("line"))
+
+
 def entry_headers(words: DataFrame, band: float = 5.0, least: int = 3, zone: float = 0.1) -> DataFrame:
     """(doc_id, page_no, entry_top, entry_x0, headers): words on the line of each `entry` word below the zone, from left to
     right, if there are at least three."""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Callable
 from xml.sax.saxutils import escape
 
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 
 from quire.functions import text
 from quire.operators import figures as fig
-from quire.operators import lines
+from quire.operators import layout, lines
 from quire.plans import convert
 from quire.plans.catalogue import FIGURES, LINES, SECTIONS, SPLIT, _figure_blocks, _figures, docs, query, table
 from quire.session import discard, materialise, scratch_path
@@ -23,6 +25,7 @@ from quire.sinks import export, export_chapters, figure_json, planned
 from quire.sources import files as files_
 from quire.sources import office
 from quire.sources.markup import html_markdown
+from quire.sources.pixels import SIGNATURE, image_statistics
 from quire.streaming.inbox import convert_inbox
 
 SPACES = 'xmlns:w="w" xmlns:r="r" xmlns:a="a" xmlns:wp="wp" xmlns:c="c" xmlns:p="p" xmlns:text="t" xmlns:table="b" xmlns:office="o"'
@@ -408,3 +411,73 @@ def first_pages_language(spark: SparkSession, d: str) -> DataFrame:
     """Five documents as the pages of one: its language is that of the first two."""
     pages = docs(spark, d).select(F.floor(F.col("doc_id") / 5).alias("doc_id"), (F.col("doc_id") % 5).alias("page_no"), "text")
     return lines.document_language(pages)
+
+
+PICTURES = """px AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(abs(x) * (vec_id % 4) * 200) AS INT) % 256) AS p FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+st AS (SELECT vec_id, list_aggregate(p, 'avg') AS mean, list_aggregate(p, 'stddev_pop') AS std, len(list_distinct(p)) AS levels FROM px)"""
+
+
+def picture(values: list[int]) -> bytes:
+    """A gray PNG of eight columns, each row filtered by another of the methods of the format."""
+    out, above = b"", [0] * 8
+    for y in range(len(values) // 8):
+        row, method = values[8 * y : 8 * y + 8], y % 4
+        guess = [[0] * 8, [0, *row[:-1]], above, [(a + b) // 2 for a, b in zip([0, *row[:-1]], above, strict=True)]][method]
+        out += bytes([method]) + bytes((v - g) % 256 for v, g in zip(row, guess, strict=True))
+        above = row
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 8, len(values) // 8, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+
+
+@query(f"WITH {PICTURES} SELECT vec_id, levels::INT AS levels, round(mean, 6) AS mean, round(std, 6) AS std, CASE WHEN std < 8 OR (mean < 25 AND std < 20) OR levels < 6 THEN 'bad' WHEN std < 16 THEN 'suspect' ELSE 'ok' END AS verdict FROM st")
+def picture_files(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as PNG files in a folder, scanned, decoded and judged."""
+    path = scratch_path(spark, "pictures")
+    good = "size(embedding) = 64 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
+    own = table(spark, d, "embeddings").where(good).select("vec_id", F.transform("embedding", lambda x: F.floor(F.abs(x) * (F.col("vec_id") % 4) * 200).cast("int") % 256).alias("p"))
+
+    @F.pandas_udf(T.BinaryType())
+    def file(p: pd.Series) -> pd.Series:
+        return p.map(lambda v: picture([int(x) for x in v]))
+
+    export(own.select(F.format_string("v%d.png", "vec_id").alias("name"), file("p").alias("content")), path, "name", "content")
+    found = image_statistics(files_.scan_images(spark, path)).select(F.regexp_extract("name", r"v(\d+)", 1).cast("long").alias("vec_id"), "levels", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "verdict")
+    out = materialise(found, "pictures")
+    discard(spark, path)
+    return out
+
+
+@query("""WITH g AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, CAST(min(l_quantity) AS INT) AS q FROM lineitem GROUP BY ALL), o AS (SELECT doc_id, count(*) AS lines FROM g GROUP BY doc_id)
+SELECT g.doc_id, 0 AS page_no, 0 AS tbl_no, 'Table,1,;entry,size,mark;' || string_agg(n || ',' || q || ',' || CASE WHEN n % 2 = 0 THEN 'a b' ELSE 'c' END, ';' ORDER BY n) AS rows FROM g JOIN o USING (doc_id) WHERE doc_id % 3 = 0 GROUP BY g.doc_id
+UNION ALL SELECT g.doc_id, 0, 0, 'Table,1,;entry,size,mark;' || string_agg(n || ',' || q || ',' || CASE WHEN n % 2 = 0 THEN 'a b' ELSE 'c' END, ';' ORDER BY n) FROM g WHERE doc_id % 3 = 1 GROUP BY g.doc_id
+UNION ALL SELECT doc_id, 0, 0, 'given,table;' || lines || ',x' FROM o WHERE doc_id % 3 = 2""")
+def cascaded_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as pages: words of a table under a caption with ruling lines, or without them, or a table that the parser gave."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    own = table(spark, d, "lineitem").groupBy(k.alias("doc_id"), n.alias("n")).agg(F.min("l_quantity").cast("int").cast("string").alias("q")).withColumn("page_no", F.lit(0))
+    top = 200.0 + F.col("n") * 20
+
+    def word(t: F.Column, x: float, at: F.Column, width: float = 30.0) -> F.Column:
+        return F.struct(t.cast("string").alias("text"), F.lit(x).alias("x0"), F.lit(x + width).alias("x1"), at.cast("double").alias("top"))
+
+    mark = F.when(F.col("n") % 2 == 0, F.array(word(F.lit("a"), 200.0, top, 14.0), word(F.lit("b"), 216.0, top, 14.0))).otherwise(F.array(word(F.lit("c"), 200.0, top)))
+    body = own.select("doc_id", "page_no", F.explode(F.concat(F.array(word(F.col("n"), 50.0, top), word(F.col("q"), 120.0, top)), mark)).alias("w"))
+    head = F.array(word(F.lit("Table"), 50.0, F.lit(180.0)), word(F.lit("1"), 120.0, F.lit(180.0)), *[word(F.lit(t), x, F.lit(200.0)) for t, x in (("entry", 50.0), ("size", 120.0), ("mark", 200.0))])
+    pages = own.groupBy("doc_id", "page_no").agg(F.count("*").alias("lines")).withColumns({"page_width": F.lit(600.0), "page_height": F.lit(800.0)})
+    words = body.unionAll(pages.select("doc_id", "page_no", F.explode(head))).select("doc_id", "page_no", "w.*")
+    ruled = pages.where("doc_id % 3 = 0").select("doc_id", "page_no", F.lit(45.0).alias("x0"), F.lit(270.0).alias("x1"), F.explode(F.array(F.lit(195.0), F.lit(212.0), F.lit(360.0))).alias("top")).withColumn("bottom", F.col("top") + 1)
+    given = pages.where("doc_id % 3 = 2").select("doc_id", "page_no", F.lit(300.0).alias("top"), F.array(F.array(F.lit("given"), F.lit("table")), F.array(F.col("lines").cast("string"), F.lit("x"))).alias("rows"))
+    early = given.withColumn("top", F.lit(100.0))
+    found = layout.table_cascade(given.unionAll(early), ruled, words, pages.drop("lines"))
+    return found.select("doc_id", "page_no", "tbl_no", F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";").alias("rows"))
+
+
+@query(f"""WITH {LINES}, p AS (SELECT doc_id, ln // 10 AS page_no, string_agg(line, chr(10) ORDER BY ln) AS t FROM lines GROUP BY ALL)
+SELECT doc_id, string_agg(t || chr(10) || chr(10) || '![Page ' || page_no + 1 || '](images/pages/page_' || lpad((page_no + 1)::VARCHAR, 3, '0') || '.png)' || chr(10) || CASE WHEN page_no % 2 = 0 THEN chr(10) || '<!-- Page ' || page_no + 1 || ' VLM descriptions -->' || chr(10) || 'A figure' || chr(10) ELSE '' END, chr(10) ORDER BY page_no) AS markdown FROM p GROUP BY doc_id""")
+def pages_with_images(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of ten lines, each with its picture, every second one with what is said of it."""
+    own = lines.explode_lines(docs(spark, d)).withColumn("page_no", F.floor(F.col("ln") / 10).cast("int"))
+    text_parts = own.select("doc_id", "page_no", F.lit(0).alias("kind"), F.col("ln").cast("long").alias("k"), "line")
+    pages = own.select("doc_id", "page_no").distinct()
+    said = pages.where("page_no % 2 = 0").withColumn("descr", F.lit("A figure"))
+    return layout.page_text(text_parts.unionAll(layout.page_images(pages)).unionAll(layout.page_descriptions(said)))
