@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,8 +42,30 @@ def checkpoint_root(spark: SparkSession) -> str:
     return jdir.get()
 
 
+_recorded: list[list[str]] = []
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete all scratch tables that are made inside the block once it ends, but for those that it takes off the list.
+
+    Operators return frames that still read their scratch tables; whoever has written such a result wraps both in this.
+    """
+    own: list[str] = []
+    _recorded.append(own)
+    try:
+        yield own
+    finally:
+        _recorded.remove(own)
+        for path in own:
+            discard(spark, path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark)}/quire-{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/quire-{name}-{uuid.uuid4().hex}"
+    if _recorded:
+        _recorded[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
