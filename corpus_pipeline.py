@@ -1,7 +1,7 @@
 """A corpus pipeline of five operators; each stage reads what its predecessor kept.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet
-to the shared folder and reads again as the next stage's docs.
+to the shared folder and reads again as the next stage's docs; scratch tables go after each stage.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from quire.llm.packing import pack
 from quire.llm.prune import parted
 from quire.llm.quality import keep_good, train
 from quire.llm.substrings import remove_repeats
-from quire.session import materialise
+from quire.session import cleared, discard, materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What a stage has left in the shared folder goes once its result is written, and so does the
+    result of the stage before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    for number, (name, stage) in enumerate(STAGES):
+        before = docs
+        with cleared(spark) as scratch:
+            docs = materialise(stage(spark, before, sf_dir), name)
+            scratch.pop()
+        if number:
+            discard(spark, before)
     return docs

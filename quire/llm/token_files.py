@@ -61,6 +61,15 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
     return spark.read.parquet(path).select("part", "local_start", *columns)
 
 
+def read_range(spark: SparkSession, path: str, low: int, high: int, columns: list[str]) -> DataFrame:
+    """Like read_tokens, for documents with low <= doc_id <= high only.
+
+    The range reaches the reader: files and row groups outside it are passed over by their statistics, and within a row
+    group the page index leaves only the pages that can hold such documents to be decoded, of ids as of all other columns.
+    """
+    return read_tokens(spark, path, [*dict.fromkeys(["doc_id", *columns])]).where(F.col("doc_id").between(low, high))
+
+
 def with_starts(rows: DataFrame, path: str) -> DataFrame:
     """Add `start`, the number of ids of all documents before each one, to rows that have part and local_start.
 

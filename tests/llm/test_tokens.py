@@ -13,7 +13,7 @@ from quire.llm.merging import PairTable
 from quire.llm.packing import HarmonicPacker, pack
 from quire.llm.pieces import CharacterMap, Pieces, encode_pieces, piece_digests
 from quire.llm.token_counts import token_counts
-from quire.llm.token_files import id_digests, read_tokens, with_starts, write_tokens
+from quire.llm.token_files import id_digests, read_range, read_tokens, with_starts, write_tokens
 from quire.session import scratch_path
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -200,3 +200,27 @@ def test_bins_keep_their_count_without_long_documents():
     assert sum(sizes.values()) == sum(lengths) and all(n == 2048 or n & (n - 1) == 0 for n in sizes.values())
     assert packer.origin["full"] == 0 and packer.origin["cut"] <= 12 and packer.origin["bin"] > 0.97 * len(sizes)
     assert len(out) < 1.4 * len(lengths)  # most documents stay whole
+
+
+def test_files_have_their_encodings_and_ranges_read_less(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.range(0, 6000).selectExpr("id AS doc_id", "concat('word ', id, ' of some text ', id * 7) AS text")
+    path = scratch_path(spark, "t")
+    write_tokens(docs.coalesce(1), path, BPE, 2)
+    files = glob.glob(f"{path.removeprefix('file:')}/*.parquet")
+    assert files
+    for f in files:
+        group = pq.ParquetFile(f).metadata.row_group(0)
+        columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+        assert any("DICTIONARY" in e for e in columns["ids.list.element"].encodings) and columns["ids.list.element"].dictionary_page_offset
+        for name in ("doc_id", "n_tokens", "local_start"):
+            assert "DELTA_BINARY_PACKED" in columns[name].encodings and columns[name].has_offset_index and columns[name].has_column_index
+    some = read_range(spark, path, 100, 180, ["n_tokens"])
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,100)" in plan and "ids" not in plan.split("ReadSchema")[1]
+    assert sorted(r.doc_id for r in some.collect()) == list(range(100, 181))
+    ids = {r.doc_id: r.ids for r in read_range(spark, path, 5, 6, ["ids"]).collect()}
+    assert sorted(ids) == [5, 6] and ids[5][-1] == 2
