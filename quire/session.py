@@ -56,7 +56,7 @@ def cleared(spark: SparkSession) -> Iterator[list[str]]:
     try:
         yield own
     finally:
-        _recorded.remove(own)
+        _recorded.pop()
         for path in own:
             discard(spark, path)
 
