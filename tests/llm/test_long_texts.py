@@ -44,7 +44,7 @@ def test_lines_and_passages_of_long_texts(long_docs, texts):
     assert lines == {1: (12500, 0, 0), 2: (12500, 12499, 6499), 3: (1, 0, 0), 4: (0, 0, 0), 5: (0, 0, 0)}
     gone = {r.doc_id: (r.n_words, r.n_removed) for r in removals(long_docs).collect()}
     own = len("one line that only the second text has, with more than ten words in it".split())
-    assert gone == {1: (WORDS, 0), 2: (WORDS - 12 + own, WORDS - 12), 3: (13, 0), 4: (0, 0), 5: (0, 0)}
+    assert gone == {1: (WORDS, 0), 2: (WORDS - 12 + own, WORDS - 12), 3: (15, 0), 4: (0, 0), 5: (0, 0)}
 
 
 def test_packing_of_long_texts(long_docs, texts):
@@ -60,4 +60,4 @@ def test_stages_take_long_texts(spark, long_docs):
     docs = long_docs.where("doc_id <= 3")
     for name, stage in corpus_pipeline.STAGES[1:4]:
         docs = corpus_pipeline.materialise(stage(spark, docs, ""), name)
-    assert {r.doc_id: len((r.text or "").split()) for r in docs.collect()} == {1: WORDS, 2: 14, 3: 13} or docs.count() == 3
+    assert {r.doc_id: len(r.text.split()) for r in docs.collect()} == {1: WORDS, 2: 15, 3: 15}
