@@ -800,7 +800,19 @@ def html_headings(spark: SparkSession, d: str) -> DataFrame:
     return own.select("page_id", F.regexp_count("md", F.lit("(?m)^# ")).alias("n_headings"))
 
 
-@query(None)
+def _page_sql() -> str:
+    """The markup that the pages hold, replaced step by step."""
+    steps = [
+        (r"(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->|<!DOCTYPE[^>]*>|<meta[^>]*>", ""), (r"\s+", " "), (r'<a href="([^"]*)">(.*?)</a>', r"[\2](\1)"), ("</li>|</?title>", ""), ("<li>", "\n* "), ("</?ul>", "\n"), ("<h1>", "\n\n# "),
+        ("</?b>", "**"), ("<br>", "  \n"), ("<[^>]*>", "\n\n"), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;?", "&"), (r"\n +", "\n"), (r"([^ ]) \n", "\\1\n"), (r"\n{3,}", "\n\n"),
+    ]
+    sql = "html"
+    for pattern, by in steps:
+        sql = f"regexp_replace({sql}, '{pattern}', '{by}', 'g')"
+    return f"SELECT page_id, trim({sql}, E' \\n') || chr(10) AS markdown FROM pages"
+
+
+@query(_page_sql())
 def html_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", html_markdown(F.col("html")).alias("markdown"))
 
