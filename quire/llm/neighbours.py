@@ -9,6 +9,7 @@ nodes; the pool's head is scored on the original vectors.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,16 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import discard, materialise, small_batches
+from quire.session import discard, materialise, scratch_path, small_batches
 
 K = 24  # neighbours of a node
 REVERSE = 24  # reverse neighbours that a node meets in a round, and that it leads to in a search beside its own
 TREES = 6
 LEAF = 256  # nodes of a leaf at most
 SAMPLE = 1 << 20  # numbers of the sample that the trees are fitted on, at most: 16,384 vectors of 64 components
-ROUNDS = 7
+ROUNDS = 6
 POOL = 320  # best nodes that a query keeps while it walks
-BEAM = 64  # nodes that a query leaves at once
+BEAM = 128  # nodes that a query leaves at once
 ENTRIES = 16  # nodes from which every query starts beside itself
 HEAD = 48  # best nodes of the pool that are scored
 LOOK = 500  # routes that a search measures at once
@@ -232,8 +233,8 @@ def merged(offers: DataFrame) -> DataFrame:
     return offers.repartition("id").sortWithinPartitions("id").mapInArrow(run, OFFER)
 
 
-def meetings(graph: DataFrame, codes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """What a round offers, and a table to discard afterwards: at each centre, its neighbours and up to REVERSE reverse neighbours (chosen by hash) meet; a pair
+def meetings(graph: DataFrame, codes: DataFrame, kind: str) -> DataFrame:
+    """What a round offers: at each centre, its neighbours and up to REVERSE reverse neighbours (chosen by hash) meet; a pair
     with a fresh member is offered to whichever of both it is closer to than its present worst neighbour. Reverse edges are
     chosen, and centres without a fresh one left out, before any vector travels."""
 
@@ -266,28 +267,26 @@ def meetings(graph: DataFrame, codes: DataFrame, kind: str) -> tuple[DataFrame,
     edges = graph.select("id", F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select(F.col("id").alias("centre"), F.col("e.ids").alias("id"), F.col("e.fresh").alias("new"))
     back = edges.select(F.col("id").alias("centre"), F.col("centre").alias("id"), "new")
     back = back.withColumn("r", F.expr("row_number() OVER (PARTITION BY centre ORDER BY xxhash64(centre, id))")).where(f"r <= {REVERSE}").drop("r")
-    pairs = edges.unionAll(back).groupBy("centre", "id").agg(F.max("new").alias("new"))
-    pairs = materialise(pairs, "pairs")
-    active = pairs.where("new").select("centre").distinct()
+    met = edges.unionAll(back).groupBy("centre").agg(F.collect_list(F.struct("id", "new")).alias("met")).where("exists(met, x -> x.new)")
+    own = F.transform(F.array_distinct(F.transform("met", lambda x: x["id"])), lambda i: F.struct(i.alias("id"), F.exists("met", lambda x: (x["id"] == i) & x["new"]).alias("new")))
+    pairs = met.select("centre", F.explode(own).alias("m")).select("centre", "m.id", "m.new")
     worst = graph.select("id", F.when(F.size("ids") < K, F.lit(float("inf"))).otherwise(F.element_at("dists", -1)).cast("double").alias("worst"))
     about = codes.join(worst, "id")
-    rows = pairs.join(active, "centre", "left_semi").join(about, "id").repartition("centre").sortWithinPartitions("centre", "id")
-    return rows.mapInArrow(meet, OFFER), pairs
+    rows = pairs.join(about, "id").repartition("centre").sortWithinPartitions("centre", "id")
+    return rows.mapInArrow(meet, OFFER)
 
 
 def descend(codes: DataFrame, leaves: DataFrame, kind: str) -> DataFrame:
-    """The neighbour graph (id, ids, dists, fresh); rounds end early when less than a thousandth of the entries is fresh."""
+    """The neighbour graph (id, ids, dists, fresh); rounds end early when less than one of 200 entries is fresh."""
     spark = codes.sparkSession
     graph = materialise(merged(leaf_offers(leaves, kind)), "graph")
     for _ in range(ROUNDS):
-        offers, pairs = meetings(graph, codes, kind)
-        offers = offers.unionAll(graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False))))
+        offers = meetings(graph, codes, kind).unionAll(graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False))))
         after = materialise(merged(offers), "graph")
-        discard(spark, pairs)
         changed, entries = after.agg(F.sum(F.size(F.filter("fresh", lambda x: x))), F.sum(F.size("ids"))).first()
         discard(spark, graph)
         graph = after
-        if not entries or changed < entries / 1000:
+        if not entries or changed < entries / 200:
             break
     return graph
 
@@ -415,10 +414,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
     codes = materialise(codes, "codes")
     entries = [tuple(r) for r in codes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).collect()]
     graph = descend(codes, leaves, kind)
-    way = materialise(routes(graph, codes), "routes")
+    way = f"quire_way_{uuid.uuid4().hex}"
     asked = members.join(queries.select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi")
     start = asked.select(F.col("node").alias("id")).distinct().join(codes, "id").selectExpr("id AS query", "code")
-    found = walk(start, way, entries, kind).select("query", F.explode(F.slice("pool", 1, HEAD)).alias("node"))
+    place = scratch_path(spark, "routes")
+    try:
+        # buckets by id: every step of the walk joins them without a shuffle of vectors
+        routes(graph, codes).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").option("path", place).saveAsTable(way)
+        pools = walk(start, spark.table(way), entries, kind)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {way}")
+        discard(spark, place)
+    found = pools.select("query", F.explode(F.slice("pool", 1, HEAD)).alias("node"))
     # equal vectors: the k + 1 smallest ids of each node, first per salt and then together
     spread = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
     for by in (["node", "salt"], ["node"]):
@@ -430,7 +437,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
     pairs = asked.selectExpr("id AS query_id", "node AS query").join(measured, "query").join(spread.selectExpr("node", "id AS vec_id"), "node").where("query_id <> vec_id")
     out = pairs.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)")).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     out = materialise(out, "nearest")
-    for table in (valid, members, codes, graph, way):
+    for table in (valid, members, codes, graph, pools):
         discard(spark, table)
     return out
 
