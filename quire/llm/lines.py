@@ -70,36 +70,37 @@ def repeated_runs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> l
 
 
 def maximal_runs(levels: list[DataFrame]) -> DataFrame:
-    """(doc, th, k, i, last, words, many): the later copies of repeated runs, as lines i to last of a document.
+    """(doc, th, k, i, last, words): the later copies of repeated runs, as lines i to last of a document.
 
     For each depth k, positions that are not their run's first place are chained while position and first place both move on
-    by one; a chain from i to j covers the lines i to j + 2**k - 1, which stand as a whole at the first place too. many is
-    the smallest number of places that a run of 2**k lines in the chain has.
+    by one; a chain from i to j covers the lines i to j + 2**k - 1, which stand as a whole at the first place too.
     """
     rows = None
     for k, level in enumerate(levels):
-        later = level.where("struct(doc, th, i) > first").select("doc", "th", F.lit(k).alias("k"), "i", "own", "words", "many", "first")
+        later = level.where("struct(doc, th, i) > first").select("doc", "th", F.lit(k).alias("k"), "i", "own", "words", "first")
         rows = later if rows is None else rows.unionAll(later)
     where = "OVER (PARTITION BY doc, th, k ORDER BY i)"
     held = f"i - lag(i) {where} = 1 AND first.doc = lag(first.doc) {where} AND first.th = lag(first.th) {where} AND first.i - lag(first.i) {where} = 1"
     marked = rows.withColumn("chain", F.expr(f"CASE WHEN {held} THEN 0 ELSE 1 END")).withColumn("chain", F.expr(f"sum(chain) {where}"))
-    chains = marked.groupBy("doc", "th", "k", "chain").agg(F.min("i").alias("i"), F.max("i").alias("j"), F.sum("own").alias("own"), F.max(F.struct("i", "own", "words")).alias("end"), F.min("many").alias("many"))
-    return chains.select("doc", "th", "k", "i", F.expr("CAST(j + shiftleft(1, k) - 1 AS int)").alias("last"), F.expr("own - end.own + end.words").alias("words"), "many")
+    chains = marked.groupBy("doc", "th", "k", "chain").agg(F.min("i").alias("i"), F.max("i").alias("j"), F.sum("own").alias("own"), F.max(F.struct("i", "own", "words")).alias("end"))
+    return chains.select("doc", "th", "k", "i", F.expr("CAST(j + shiftleft(1, k) - 1 AS int)").alias("last"), F.expr("own - end.own + end.words").alias("words"))
 
 
 def later_lines(docs: DataFrame, min_words: int = 10, min_places: int = 20, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc, th, gone, longest): the line numbers (among lines with a word) that later copies of repeated runs cover.
 
-    A maximal run counts from min_words words on, or if it stands in min_places places. longest is the number of lines of the
-    longest later copy, whether it counts or not.
+    A maximal run counts from min_words words on, and a single line of any length if it stands in min_places places. longest
+    is the number of lines of the longest later copy, whether it counts or not.
     """
     spark = docs.sparkSession
     levels = repeated_runs(docs, text, key)
     if not levels:
         return spark.createDataFrame([], "doc long, th long, gone array<int>, longest int")
-    counts = (F.col("words") >= min_words) | (F.col("many") >= min_places)
-    marks = F.when(counts, F.sequence("i", "last")).otherwise(F.array().cast("array<int>"))
-    out = maximal_runs(levels).groupBy("doc", "th").agg(F.array_distinct(F.flatten(F.collect_list(marks))).alias("gone"), F.max(F.col("last") - F.col("i") + 1).alias("longest"))
+    frequent = levels[0].where(F.col("many") >= min_places).where("struct(doc, th, i) > first")
+    runs = maximal_runs(levels).select("doc", "th", "i", "last", (F.col("words") >= min_words).alias("counts"))
+    runs = runs.unionAll(frequent.select("doc", "th", "i", F.col("i").alias("last"), F.lit(True)))
+    marks = F.when(F.col("counts"), F.sequence("i", "last")).otherwise(F.array().cast("array<int>"))
+    out = runs.groupBy("doc", "th").agg(F.array_distinct(F.flatten(F.collect_list(marks))).alias("gone"), F.max(F.col("last") - F.col("i") + 1).alias("longest"))
     out = materialise(out, "gone")
     for level in levels:
         discard(spark, level)
@@ -123,7 +124,7 @@ def line_report(docs: DataFrame, text: str = "text", key: str = "doc_id", **rule
     """One row per input row: doc_id, n_lines (with a word), n_removed, kept_sha256 (kept lines joined by newlines), and
     longest_copy, the lines of the longest run that stands earlier too.
 
-    A line of a run is removed if the same run starts earlier (smaller id, or before it in the same text) and the run counts
+    A line of a run is removed if the same run starts earlier (smaller id, or before it in the same text) and it counts
     (later_lines). Null and empty texts have no lines; rows with a null id lose nothing and remove nothing; equal repeated
     rows count as one document, different texts of one id as documents in the order of a hash of theirs.
     """

@@ -25,8 +25,8 @@ ranks AS (SELECT doc_id, i, 0 AS k, nw AS own, nw AS words, md5(line) AS r FROM
  UNION ALL SELECT a.doc_id, a.i, a.k + 1, a.own, a.words + b.words, md5(a.r || b.r) FROM ranks a JOIN ranks b ON b.doc_id = a.doc_id AND b.k = a.k AND b.i = a.i + (1 << a.k)),
 placed AS (SELECT *, count(*) OVER (PARTITION BY k, r) AS many, first_value(doc_id) OVER w AS fd, first_value(i) OVER w AS fi FROM ranks WINDOW w AS (PARTITION BY k, r ORDER BY doc_id, i)),
 chained AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, k, fd, fi - i ORDER BY i) AS chain FROM placed WHERE fd < doc_id OR fi < i),
-runs AS (SELECT doc_id, min(i) AS i, max(i) + (1 << k) - 1 AS last, sum(own) + arg_max(words - own, i) AS words, min(many) AS many FROM chained GROUP BY doc_id, k, fd, fi - i, chain),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, last + 1)) AS i FROM runs WHERE words >= 10 OR many >= 20),
+runs AS (SELECT doc_id, min(i) AS i, max(i) + (1 << k) - 1 AS last, sum(own) + arg_max(words - own, i) AS words FROM chained GROUP BY doc_id, k, fd, fi - i, chain),
+gone AS (SELECT doc_id, unnest(range(i, last + 1)) AS i FROM runs WHERE words >= 10 UNION SELECT doc_id, i FROM chained WHERE k = 0 AND many >= 20),
 kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.p) AS t FROM l LEFT JOIN f ON f.doc_id = l.doc_id AND f.p = l.p WHERE f.i IS NULL OR NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = f.doc_id AND g.i = f.i) GROUP BY l.doc_id)
 SELECT d.doc_id, (SELECT count(*) FROM f WHERE f.doc_id = d.doc_id) AS n_lines, (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256,
  (SELECT coalesce(max(last - i + 1), 0) FROM runs e WHERE e.doc_id = d.doc_id)::INT AS longest_copy FROM documents d LEFT JOIN kept USING (doc_id)"""
