@@ -226,13 +226,15 @@ def brute_lines(rows, min_words=10, min_places=20):
                     last = None
                     continue
                 if last is None or last != (first[0], first[1] - 1):
-                    chains.append([p, p, len(found)])
-                chains[-1][1:] = p, min(chains[-1][2], len(found))
+                    chains.append([p, p])
+                chains[-1][1] = p
                 last = first
-            for i, j, many in chains:
+                if level == 0 and len(found) >= min_places:
+                    gone.add(p)
+            for i, j in chains:
                 cover = range(i, j + (1 << level))
                 longest = max(longest, len(cover))
-                if sum(len(WORD.findall(lines[x])) for x in cover) >= min_words or many >= min_places:
+                if sum(len(WORD.findall(lines[x])) for x in cover) >= min_words:
                     gone |= set(cover)
         out[own] = len(lines), gone, longest
     return out
