@@ -179,13 +179,15 @@ def window_digests(suspects: DataFrame, window: int) -> DataFrame:
     return suspects.mapInArrow(emit, "h long, g long, doc long, pos int")
 
 
-def later_copies(windows: DataFrame) -> DataFrame:
-    """(doc, starts) of the windows (h, g, doc, pos) that a smaller document holds too.
+def first_copies(windows: DataFrame) -> DataFrame:
+    """(h, g, first) of the windows (h, g, doc, pos) that several documents hold. First documents are aggregated before the
+    shuffle, so a window in a large share of all documents costs a row per task."""
+    return windows.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("top")).where("first < top").drop("top")
 
-    The first document of a window is aggregated before the shuffle, so a window in a large share of all documents costs a
-    row per task; the rows meet it in an equi-join, of which Spark can split a frequent window over tasks.
-    """
-    first = windows.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("top")).where("first < top").drop("top")
+
+def later_copies(windows: DataFrame, first: DataFrame) -> DataFrame:
+    """(doc, starts) of the windows that a smaller document holds too. `first` is a written table, so the join stands alone and
+    Spark can split a frequent window over tasks."""
     return windows.join(first, ["h", "g"]).where("doc > first").groupBy("doc").agg(F.collect_set("pos").alias("starts"))
 
 
@@ -221,11 +223,12 @@ def cuts_of(texts: DataFrame, marks: DataFrame, window: int, above: int | None =
     likely, _ = parted(texts, F.col("doc"), marks, "doc")
     suspects = materialise(likely.join(marks, "doc"), "suspects", compression="zstd")
     windows = materialise(window_digests(suspects, window), "windows")
-    removed = later_copies(windows)
+    first = materialise(first_copies(windows), "first")
+    removed = later_copies(windows, first)
     if above is not None:
         removed = removed.where(F.col("doc") > above)
     cuts = materialise(suspects.select("doc", "t").join(removed, "doc"), "cuts", compression="zstd")
-    for table in (marks, suspects, windows):
+    for table in (marks, suspects, windows, first):
         discard(spark, table)
     return cuts
 
