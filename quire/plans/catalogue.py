@@ -501,14 +501,14 @@ def rule_groups(spark: SparkSession, d: str) -> DataFrame:
     return layout.group_extent(layout.chained(_rects(spark, d), layout.PAGE, ["top", "event_id"]), layout.PAGE)
 
 
-@query("""WITH h AS (SELECT l_orderkey, l_linenumber * 60.0 + l_orderkey % 7 AS x0, l_linenumber * 60.0 + 20 + l_orderkey % 13 + l_linenumber % 3 AS x1, l_linenumber AS n FROM lineitem),
+@query("""WITH h AS (SELECT l_orderkey, l_linenumber * 60.0 + l_orderkey % 7 AS x0, l_linenumber * 60.0 + 20 + l_orderkey % 13 + l_linenumber % 3 AS x1, l_linenumber AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
 b AS (SELECT *, lag(x1) OVER w AS px, lead(x0) OVER w AS nx FROM h WINDOW w AS (PARTITION BY l_orderkey ORDER BY n))
 SELECT l_orderkey, string_agg(round(CASE WHEN px IS NULL THEN x0 - 10 ELSE (px + x0) / 2 END, 3)::DOUBLE::VARCHAR, ',' ORDER BY n) || ',' || (max(x1) + 10)::DOUBLE::VARCHAR AS borders FROM b GROUP BY l_orderkey""")
 def column_borders(spark: SparkSession, d: str) -> DataFrame:
     """Header words of a table by order: borders half way between them."""
     n, k = F.col("l_linenumber"), F.col("l_orderkey")
     box = F.struct((n * 60.0 + k % 7).cast("double").alias("x0"), (n * 60.0 + 20 + k % 13 + n % 3).cast("double").alias("x1"), F.lit("w").alias("text"))
-    own = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(box)).alias("h"))
+    own = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct().groupBy("l_orderkey").agg(F.array_sort(F.collect_list(box)).alias("h"))
     return own.select("l_orderkey", F.array_join(F.transform(layout.column_borders(F.col("h")), lambda x: F.round(x, 3).cast("string")), ",").alias("borders"))
 
 

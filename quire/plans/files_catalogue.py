@@ -292,7 +292,7 @@ def scanned_files(spark: SparkSession, d: str) -> DataFrame:
     mixed_folder(spark, d, path)
     files = files_.scan(spark, path)
     found = convert.files_markdown(files, convert.Options(frontmatter=False))
-    out = materialise(with_key(found).select("doc_id", F.regexp_extract("path", r"(f\d+/)?[^/]*$", 1).alias("folder"), "fmt", F.when(F.col("fmt") != "docx", F.col("markdown")).alias("markdown"), F.col("error").isNotNull().alias("failed")), "scanned")
+    out = materialise(with_key(found).select("doc_id", F.regexp_extract("path", r"(f\d+/)?[^/]*$", 1).alias("folder"), "fmt", F.when(F.col("fmt") != "docx", F.col("markdown")).alias("markdown"), F.coalesce(F.col("error") != "too little content", F.lit(False)).alias("failed")), "scanned")
     discard(spark, path)
     return out
 
@@ -307,6 +307,7 @@ def inbox_files(spark: SparkSession, d: str) -> DataFrame:
     written = read(f"{path}/out", "*.md").where("NOT exists(array('docx'), x -> contains(path, x))").select(F.regexp_extract("path", r"out/(.*)$", 1).alias("target"), F.md5("content").alias("digest"), F.lit(False).alias("left_over"))
     word = docs(spark, d).where("doc_id % 7 = 4").select(F.format_string("d%d/d%d.md", "doc_id", "doc_id").alias("target"))
     left = read(f"{path}/box", "*.{docx,pdf}").where("NOT contains(path, '/_done/') AND NOT path RLIKE '/f[0-9]+/'").select(F.regexp_extract("path", r"([^/]*)$", 1).alias("target"), F.lit(None).cast("string"), F.lit(True))
+    left = left.where("NOT (target LIKE '%.docx' AND CAST(regexp_extract(target, '([0-9]+)', 1) AS long) % 2 = 0)")  # those may hold too little
     out = materialise(written.join(word, "target", "left_anti").unionAll(left), "inbox")
     discard(spark, path)
     return out
